@@ -67,11 +67,12 @@ def shard_quotas(plan: DataFrame, shards: int) -> DataFrame:
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 64, shards: int = 16, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, quota,
-    taken (words the mix takes, repeats counted) and spans, an array of
+    """One row per document: doc_id, id (the text's hash), source, size, source_size, target, quota,
+    taken (words the mix takes, repeats counted), by_pass (the same for each pass that
+    takes some) and spans, an array of
     (shard, pass, start, words): the stretches of the document each shard takes."""
     text_id = F.xxhash64(F.lit(seed), "doc_id", "text")
-    sizes = cut(documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), text_id.alias("order")))
+    sizes = cut(documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), text_id.alias("order"), F.xxhash64("text").alias("id")))
     plan = cut(seats(targets(sizes, weights, share, cap), block))
     plan = maybe_broadcast(plan.withColumnRenamed("source", "_source"))
     placed = running_offsets(sizes, ["source"], F.col("order"), "size", "offset")
@@ -89,4 +90,4 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
         f"filter(flatten(transform(ends, e -> transform(sequence(greatest(0, {first} - 1), least({shards} - 1, {last} + 1)), j -> named_struct('shard', j, 'pass', e.p,"
         f" 'start', greatest(offset, {lo}) - offset, 'words', least(e.end, case when j = {shards} - 1 then e.end else {hi} end) - greatest(offset, {lo}))))), s -> s.words > 0)"
     )
-    return placed.select("doc_id", "source", "size", "source_size", "target", "quota", taken.alias("taken"), spans.alias("spans"))
+    return placed.select("doc_id", "id", "source", "size", "source_size", "target", "quota", taken.alias("taken"), F.transform("ends", lambda e: e["end"] - F.col("offset")).alias("by_pass"), spans.alias("spans"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup
+from . import chat, decontam, kneser_ney, line_dedup, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,15 +31,46 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
 
 
+def op5_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(chat.turns_as_calls(table(spark, sf_dir, "conversations")), chat.REPLY)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_substring_dedup, op4_sharding, op7_suffix_dedup, op9_simhash)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kneser_ney.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", "n_bytes", "score", "perplexity", "low", "high", "kept")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_quality_rules,
+        op3_substring_dedup,
+        op4_sharding,
+        op5_chat_tool_calls,
+        op6_line_dedup,
+        op7_suffix_dedup,
+        op8_decontamination,
+        op9_simhash,
+        op10_quality_classifier,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
