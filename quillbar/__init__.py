@@ -1,0 +1 @@
+"""Analytics over price bars as Spark plans."""
