@@ -9,7 +9,12 @@ of positions that lines up by content. One row per run is enough to find:
 * runs whose whole block of text stands earlier: all its windows are covered;
 * runs with an anchor of their own: none is;
 * the rest, runs of differing blocks that share an anchor (the ends of repeated
-  passages): their windows are named and compared one by one.
+  passages): their windows are compared one by one, in the bucket of the anchor.
+
+Rows are dealt by anchor, sorted, and read as a stream, so a task holds a few
+buckets. Copies are told apart before that, piece by piece of a task's input, so
+that a block which millions of documents share reaches its bucket once a piece. An
+anchor with very many different blocks is dealt by block, and its windows by name.
 
 Names are 2 x 64-bit polynomial hashes (two runs are equal only if both the
 anchor's and the block's agree, two windows only if both do).
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, doc_key, stored
+from .common import BROADCAST_BYTES, cut, doc_key, stored
 
 U = np.uint64
 #: Text is hashed in pieces of about this many bytes, so that work arrays stay small.
@@ -34,6 +39,12 @@ PIECE = 1 << 20
 #: Fixed odd multipliers, = 3 modulo 8.
 MULTIPLIERS = (0x9E3779B97F4A7C1B, 0xD6E8FEB86659FD93)
 START_BITS = 38
+#: Rows that are compared at a time in a task (36 bytes each), and rows of a batch
+#: that a task hands on.
+ROWS, OUT = 1 << 19, 1 << 16
+#: Hot anchors are looked for in one of so many documents, and have at least so
+#: many runs there.
+SAMPLE, HOT = 64, 32
 
 
 @dataclass(frozen=True)
@@ -45,6 +56,11 @@ class Span:
     gram: int
     same_doc: bool
 
+    def is_later(self, doc: np.ndarray, pos: np.ndarray, first_doc: np.ndarray, first_pos: np.ndarray) -> np.ndarray:
+        """Whether (doc, pos) counts as behind the first of its kind."""
+        behind = doc > first_doc
+        return behind | ((doc == first_doc) & (pos > first_pos)) if self.same_doc else behind
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -123,10 +139,10 @@ def word_tokens(raw: np.ndarray, which: int, bounds: np.ndarray) -> tuple[np.nda
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column and the n+1 offsets into them; null: empty."""
+    """All bytes of a string or binary column and the n+1 offsets; null: empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
+    column = column.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -155,6 +171,13 @@ def tokens_of(raw: np.ndarray, bounds: np.ndarray, unit: str) -> Iterator[np.nda
         yield at
 
 
+def winnow(grams: np.ndarray, w: int) -> np.ndarray:
+    """For every ``w`` neighbouring grams, the place of the lowest, leftmost of equals."""
+    low = U((1 << 21) - 1)
+    packed = (grams & ~low) | np.arange(len(grams), dtype=U)
+    return (sliding_min(packed, w) & low).astype(np.int64)
+
+
 def runs_of(tok1: np.ndarray, tok2: np.ndarray, bounds: np.ndarray, span: Span) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, anchor name, block name) of every run."""
     none = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
@@ -162,6 +185,8 @@ def runs_of(tok1: np.ndarray, tok2: np.ndarray, bounds: np.ndarray, span: Span)
         return none
     parts = []
     margin = span.length + 1
+    text_of = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
+    last_start = bounds[1:] - span.length
     for lo in range(0, len(tok1), PIECE):
         # windows that start in [lo, hi) are this piece's; it reads on as far as they do
         hi = min(lo + PIECE, len(tok1))
@@ -170,12 +195,10 @@ def runs_of(tok1: np.ndarray, tok2: np.ndarray, bounds: np.ndarray, span: Span)
             continue
         one, two = Rolling(tok1[a:b], 0), Rolling(tok2[a:b], 1)
         grams = one.every(span.gram)
-        low = U((1 << 21) - 1)
-        packed = (grams & ~low) | np.arange(len(grams), dtype=U)
-        anchor = (sliding_min(packed, span.length - span.gram + 1) & low).astype(np.int64)
-        p = np.arange(len(anchor))
-        text = np.searchsorted(bounds, p + a, "right") - 1
-        valid = (p + a + span.length <= bounds[np.minimum(text + 1, len(bounds) - 1)]) & (p + a >= lo) & (p + a < hi)
+        anchor = winnow(grams, span.length - span.gram + 1)
+        p = np.arange(a, a + len(anchor))
+        text = text_of[a : a + len(anchor)]
+        valid = (p <= last_start[text]) & (p >= lo) & (p < hi)
         change = np.ones(len(p), dtype=bool)
         change[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | ~valid[:-1]
         start = np.flatnonzero(valid & change)
@@ -186,35 +209,159 @@ def runs_of(tok1: np.ndarray, tok2: np.ndarray, bounds: np.ndarray, span: Span)
         count = np.flatnonzero(ends) - start + 1
         shift = anchor[start] - start
         block = mix(two.at(start, count + (span.length - 1)) + U(0x632BE59BD9B4E019) * (count * 4096 + shift).astype(U))
-        parts.append((text[start], start + a - bounds[text[start]], count, grams[anchor[start]].view(np.int64), block.view(np.int64)))
+        parts.append((text[start].astype(np.int64), start + a - bounds[text[start]], count, grams[anchor[start]].view(np.int64), block.view(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else none
 
 
-def _scan(span: Span, full: bool):
+def runs_in(batches: Iterator[pa.RecordBatch], span: Span) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc, pos, windows, anchor, block) of all runs, by groups of texts."""
+    for batch in batches:
+        raw, offsets = texts(batch.column("text"))
+        doc, sub = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "sub"))
+        for i, j in groups(offsets):
+            tok1, tok2, at = tokens_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], span.unit)
+            text, start, count, a, b = runs_of(tok1, tok2, at, span)
+            if len(text):
+                yield doc[i + text], (sub[i + text] << START_BITS) + start, count, a, b
+
+
+def gathered(parts: Iterator[tuple[np.ndarray, ...]], rows: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same columns in pieces of about ``rows`` rows."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for part in parts:
+        held.append(part)
+        if sum(len(x[0]) for x in held) >= rows:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def after_first(one: np.ndarray, two: np.ndarray, doc: np.ndarray, pos: np.ndarray, span: Span) -> np.ndarray:
+    """Whether a row's (one, two) stands earlier among these rows."""
+    order = np.lexsort((pos, doc, two, one))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = np.empty(len(order), dtype=bool)
+    later[order] = span.is_later(doc[order], pos[order], doc[first], pos[first])
+    return later
+
+
+def batch_of(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
+
+
+def spread(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """A key that deals out rows which need not meet any other."""
+    return mix(doc.view(U) * U(0x9E3779B97F4A7C15) + pos.view(U)).view(np.int64)
+
+
+def is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(values), dtype=bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def _sample(span: Span):
+    """Anchors with their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = texts(batch.column("text"))
-            doc, sub = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "sub"))
-            for i, j in groups(offsets):
-                piece, bounds = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                tok1, tok2, at = tokens_of(piece, bounds, span.unit)
-                text, start, count, a, b = runs_of(tok1, tok2, at, span)
-                if not len(text):
-                    continue
-                if full:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[i + text], (sub[i + text] << START_BITS) + start, count.astype(np.int32), a, b)], names=["doc", "pos", "n", "a", "b"])
-                else:
-                    order = np.lexsort((b, a))
-                    a, b = a[order], b[order]
-                    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-                    times = np.diff(np.append(new, len(a)))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[new], b[new], times)], names=["a", "b", "c"])
+        for _, _, _, a, _ in gathered(runs_in(batches, span), ROWS):
+            names, times = np.unique(a, return_counts=True)
+            yield batch_of({"a": names, "c": times})
 
     return run
 
 
-def _name_windows(span: Span):
+ROW = "k long, a long, b long, doc long, pos long, n int, later boolean"
+
+
+def _scan(span: Span, hot):
+    """Runs, dealt by anchor. Of equal blocks in one piece only the first has to
+    meet others, the rest are told here; hot anchors are dealt by block, too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, pos, n, a, b in gathered(runs_in(batches, span), ROWS):
+            later = after_first(a, b, doc, pos, span)
+            k = np.where(is_in(a, hot.value), a ^ mix(b.view(U)).view(np.int64), a)
+            k = np.where(later, spread(doc, pos), k)
+            for lo in range(0, len(k), OUT):
+                s = slice(lo, lo + OUT)
+                yield batch_of({"k": k[s], "a": a[s], "b": b[s], "doc": doc[s], "pos": pos[s], "n": n[s].astype(np.int32), "later": later[s]})
+
+    return run
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by k, cut so that no value of k is in two of them."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        k = batch.column("k").to_numpy()
+        cut_at = int(np.searchsorted(k, k[-1], "left"))
+        if cut_at == 0 and len(held) > 1 and held[-2].column("k")[-1].as_py() == int(k[-1]):
+            continue  # the key of the end began before this batch
+        yield _joined([*held[:-1], batch.slice(0, cut_at)])
+        held, n = [batch.slice(cut_at)], batch.num_rows - cut_at
+    if n:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(p.num_rows for p in parts) else parts[0].slice(0, 0)
+
+
+def _judge(span: Span):
+    """Of rows sorted by k: those told to be later, and the open ones, firsts of
+    blocks whose anchor has other blocks too. An anchor's only block is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_keys(batches, ROWS):
+            if not batch.num_rows:
+                continue
+            k, a, b, doc, pos, n, told = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "a", "b", "doc", "pos", "n", "later"))
+            later = told.copy()
+            rest = np.flatnonzero(~told)
+            later[rest] = after_first(a[rest], b[rest], doc[rest], pos[rest], span)
+            order = rest[np.lexsort((b[rest], a[rest]))]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = a[order[1:]] != a[order[:-1]]
+            group = np.cumsum(new) - 1
+            change = np.zeros(len(order), dtype=bool)
+            change[1:] = ~new[1:] & (b[order[1:]] != b[order[:-1]])
+            differ = np.zeros(len(k), dtype=bool)
+            differ[order] = np.bincount(group, weights=change, minlength=1)[group] > 0 if len(order) else False
+            keep = later | differ | (~told & (k != a))
+            yield batch_of({"doc": doc[keep], "pos": pos[keep], "n": n[keep], "later": later[keep]})
+
+    return run
+
+
+PIECES = "k long, w1 long, w2 long, doc long, pos long, n int, block binary, later boolean"
+
+
+def _open_pieces(span: Span, hot):
+    """What open runs have to be compared by, dealt by anchor: bytes of a run's
+    block; or, for words and for hot anchors, a row per window, dealt by its name."""
+
+    def windows(first: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        w1, w2, doc, pos = first
+        later = after_first(w1, w2, doc, pos, span)
+        k = np.where(later, spread(doc, pos), w1)
+        for lo in range(0, len(k), OUT):
+            s = slice(lo, lo + OUT)
+            m = len(k[s])
+            yield batch_of({"k": k[s], "w1": w1[s], "w2": w2[s], "doc": doc[s], "pos": pos[s], "n": np.ones(m, np.int32), "block": pa.nulls(m, pa.binary()), "later": later[s]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             raw, offsets = texts(batch.column("text"))
             doc, sub = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "sub"))
@@ -224,21 +371,85 @@ def _name_windows(span: Span):
                 piece, bounds = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 tok1, tok2, tok_at = tokens_of(piece, bounds, span.unit)
                 packed = values[at[i] : at[j]]
+                if not len(packed):
+                    continue
                 text = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
                 start, count = packed >> 20, packed & 0xFFFFF
-                text, start = np.repeat(text, count), np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                where = tok_at[text] + start
-                if not len(where):
-                    continue
-                cuts = np.flatnonzero(np.diff(where // PIECE)) + 1
-                for lo, hi in zip([0, *cuts], [*cuts, len(where)], strict=True):
-                    sl = slice(lo, hi)
-                    names = []
-                    for k, tok in enumerate((tok1, tok2)):
-                        first, last = int(where[sl].min()), int(where[sl].max())
-                        names.append(Rolling(tok[first : last + span.length], k).at(where[sl] - first, span.length).view(np.int64))
-                    t = i + text[sl]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*names, doc[t], (sub[t] << START_BITS) + start[sl])], names=["w1", "w2", "doc", "pos"])
+                by_window = np.ones(len(packed), dtype=bool)
+                if span.unit == "byte":
+                    a = np.zeros(len(packed), dtype=np.int64)
+                    where = tok_at[text] + start
+                    for lo in range(0, len(packed), 4096):
+                        s = slice(lo, lo + 4096)
+                        first, last = int(where[s].min()), int(where[s].max()) + span.length
+                        inner = np.arange(span.length - span.gram + 1)
+                        grams = Rolling(tok1[first:last], 0).at((where[s] - first)[:, None] + inner, span.gram)
+                        a[s] = grams[np.arange(len(grams)), (grams >> U(21)).argmin(axis=1)].view(np.int64)
+                    by_window = is_in(a, hot.value)
+                    m = np.flatnonzero(~by_window)
+                    for lo in range(0, len(m), OUT // 8):
+                        s = m[lo : lo + OUT // 8]
+                        blocks = pa.array([piece[x : x + y].tobytes() for x, y in zip(where[s].tolist(), (count[s] + span.length - 1).tolist(), strict=True)], pa.binary())
+                        d = doc[i + text[s]]
+                        none = np.zeros(len(s), np.int64)
+                        yield batch_of({"k": a[s], "w1": none, "w2": none, "doc": d, "pos": (sub[i + text[s]] << START_BITS) + start[s], "n": count[s].astype(np.int32), "block": blocks, "later": np.zeros(len(s), bool)})
+                m = np.flatnonzero(by_window)
+                for lo in range(0, len(m), 4096):
+                    s = m[lo : lo + 4096]
+                    t, begin = np.repeat(text[s], count[s]), expand(start[s], count[s])
+                    where = tok_at[t] + begin
+                    first, last = int(where.min()), int(where.max()) + span.length
+                    names = [Rolling(tok[first:last], q).at(where - first, span.length).view(np.int64) for q, tok in enumerate((tok1, tok2))]
+                    held.append([*names, doc[i + t], (sub[i + t] << START_BITS) + begin])
+                    if sum(len(x[0]) for x in held) >= ROWS:
+                        yield from windows([np.concatenate(x) for x in zip(*held, strict=True)])
+                        held.clear()
+        if held:
+            yield from windows([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return run
+
+
+def expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every run, one after another."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
+def _settle(span: Span):
+    """(doc, pos, length) of what is covered, of pieces sorted by k: in a bucket of
+    blocks that share an anchor, and among rows of single windows, the windows
+    that stand earlier."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_keys(batches, ROWS // 16):
+            if not batch.num_rows:
+                continue
+            w1, w2, doc, pos, n, later = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("w1", "w2", "doc", "pos", "n", "later"))
+            has = np.asarray(batch.column("block").is_valid())
+            single = np.flatnonzero(~has)
+            told = later[single].copy()
+            open_ = np.flatnonzero(~told)
+            r = single[open_]
+            told[open_] = after_first(w1[r], w2[r], doc[r], pos[r], span)
+            r = single[told]
+            if len(r):
+                yield batch_of({"doc": doc[r], "pos": pos[r], "length": np.full(len(r), span.length, np.int32)})
+            r = np.flatnonzero(has)
+            if not len(r):
+                continue
+            raw, at = texts(batch.column("block").take(pa.array(r)))
+            run_of = np.repeat(np.arange(len(r)), n[r])
+            start = expand(at[:-1], n[r].astype(np.int64))
+            names = [Rolling(byte_table(q)[raw], q).at(start, span.length).view(np.int64) for q in (0, 1)]
+            place = pos[r][run_of] + start - at[run_of]
+            hit = np.flatnonzero(after_first(*names, doc[r][run_of], place, span))
+            if not len(hit):
+                continue
+            begins = np.ones(len(hit), dtype=bool)
+            begins[1:] = (hit[1:] != hit[:-1] + 1) | (run_of[hit[1:]] != run_of[hit[:-1]])
+            b = np.flatnonzero(begins)
+            length = np.diff(np.append(b, len(hit))) + span.length - 1
+            yield batch_of({"doc": doc[r][run_of[hit[b]]], "pos": place[hit[b]], "length": length.astype(np.int32)})
 
     return run
 
@@ -255,30 +466,31 @@ def attach(texts_df: DataFrame, lists: DataFrame, size: int, how: str) -> DataFr
     return texts_df.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, ["doc", "sub"], how)
 
 
+def hot_anchors(scanned: DataFrame, span: Span) -> np.ndarray:
+    """Anchors that hold over 1e-5 of the runs (so at most 100,000 of them) in a
+    sample of documents. They are dealt out finer; which ones are found changes
+    the balance of the tasks and nothing else."""
+    part = scanned.where(F.pmod(F.xxhash64(F.lit(5), "doc", "sub"), F.lit(SAMPLE)) == 0)
+    counts = cut(part.mapInArrow(_sample(span), "a long, c long").groupBy("a").agg(F.sum("c").alias("c")).where(f"c >= {HOT}"))
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    rows = counts.where(F.col("c") > total * 1e-5).select("a").toArrow()
+    return np.sort(rows.column("a").to_numpy())
+
+
 def covered_spans(documents: DataFrame, span: Span) -> tuple[DataFrame, int]:
     """Per (doc, sub) with something covered: ``spans``, the sorted starts and
     lengths (start << 20 | length) of covered stretches, which may overlap; and
     the bytes of all lists."""
-    source = keyed(documents)
-    scanned = source.where(F.octet_length("text") >= span.length)
-    names = scanned.mapInArrow(_scan(span, False), "a long, b long, c long")
-    shared = names.groupBy("a").agg(F.sum("c").alias("c"), (F.min("b") != F.max("b")).alias("differ")).where("c > 1").select("a", "differ")
-    found = stored(scanned.mapInArrow(_scan(span, True), "doc long, pos long, n int, a long, b long").join(shared, "a"))
-    # the first of equal blocks; whole blocks behind it are covered
-    firsts = found.groupBy("a", "b").agg(F.min(F.struct("doc", "pos")).alias("first"))
-    told = found.join(firsts, ["a", "b"])
-    later = F.col("doc") > F.col("first.doc")
-    if span.same_doc:
-        later = later | ((F.col("doc") == F.col("first.doc")) & (F.col("pos") > F.col("first.pos")))
-    told = stored(told.where(later | F.col("differ")).select("doc", "pos", "n", later.alias("later")))
-    open_runs = _lists(told.where("not later").select("doc", "pos", F.col("n").alias("length")), "runs")
-    open_runs, size = _sized(open_runs, "runs")
-    windows = stored(attach(scanned, open_runs, size, "inner").mapInArrow(_name_windows(span), "w1 long, w2 long, doc long, pos long"))
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    hit = windows.join(first, ["w1", "w2"]).where(later)
+    sc = documents.sparkSession.sparkContext
+    scanned = keyed(documents).where(F.octet_length("text") >= span.length)
+    hot = sc.broadcast(hot_anchors(scanned, span))
+    runs = scanned.mapInArrow(_scan(span, hot), ROW).repartition("k").sortWithinPartitions("k")
+    told = stored(runs.mapInArrow(_judge(span), "doc long, pos long, n int, later boolean"))
+    open_runs, size = _sized(_lists(told.where("not later").select("doc", "pos", F.col("n").alias("length")), "runs"), "runs")
+    pieces = attach(scanned, open_runs, size, "inner").mapInArrow(_open_pieces(span, hot), PIECES)
+    hit = pieces.repartition("k").sortWithinPartitions("k").mapInArrow(_settle(span), "doc long, pos long, length int")
     spans = told.where("later").select("doc", "pos", (F.col("n") + (span.length - 1)).alias("length"))
-    spans = spans.unionByName(hit.select("doc", "pos", F.lit(span.length).alias("length")))
-    return _sized(_lists(spans, "spans"), "spans")
+    return _sized(_lists(spans.unionByName(hit), "spans"), "spans")
 
 
 def _lists(rows: DataFrame, out: str) -> DataFrame:
