@@ -28,10 +28,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut, doc_key, stored
+from .common import cut, doc_key, stored
 
 U = np.uint64
 #: Text is hashed in pieces of about this many bytes, so that work arrays stay small.
@@ -363,12 +363,14 @@ def _open_pieces(span: Span, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            raw, offsets = texts(batch.column("text"))
+            size = batch.column("n").to_numpy()
+            offsets = np.concatenate(([0], np.cumsum(size)))
             doc, sub = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "sub"))
             lists = batch.column("runs")
             at, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for i, j in groups(offsets):
-                piece, bounds = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                piece = np.frombuffer(b"".join(unpacked(batch.column("z").slice(i, j - i), size[i:j])), np.uint8)
+                bounds = offsets[i : j + 1] - offsets[i]
                 tok1, tok2, tok_at = tokens_of(piece, bounds, span.unit)
                 packed = values[at[i] : at[j]]
                 if not len(packed):
@@ -454,16 +456,35 @@ def _settle(span: Span):
     return run
 
 
+def text_key() -> Column:
+    return F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1))
+
+
 def keyed(documents: DataFrame) -> DataFrame:
     """text with its key: doc (doc_id, null last) and sub, which tells apart
     different texts under one doc_id."""
-    return documents.select(doc_key().alias("doc"), F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1)).alias("sub"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return documents.select(doc_key().alias("doc"), text_key().alias("sub"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def packed_texts(documents: DataFrame) -> DataFrame:
+    """doc, sub, doc_id, n (bytes) and z, the text in zstd: it is what a shuffle of
+    whole texts moves, at about half its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                raw, offsets = texts(part.column("text"))
+                whole = raw.tobytes()
+                z = [pa.compress(whole[x:y], codec="zstd", asbytes=True) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc", "sub", "doc_id")), pa.array(np.diff(offsets)), pa.array(z, pa.binary())], names=["doc", "sub", "doc_id", "n", "z"])
+
+    columns = (doc_key().alias("doc"), text_key().alias("sub"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return documents.select(*columns).mapInArrow(run, "doc long, sub long, doc_id long, n long, z binary")
 
 
-def attach(texts_df: DataFrame, lists: DataFrame, size: int, how: str) -> DataFrame:
-    """Texts with their lists; the lists are broadcast only if ``size`` (their
-    measured bytes) is within the bound, else both sides shuffle on the key."""
-    return texts_df.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, ["doc", "sub"], how)
+def unpacked(z: pa.Array, n: np.ndarray) -> list[bytes]:
+    return [pa.decompress(x.as_buffer(), decompressed_size=int(m), codec="zstd", asbytes=True) if m else b"" for x, m in zip(z, n, strict=True)]
 
 
 def hot_anchors(scanned: DataFrame, span: Span) -> np.ndarray:
@@ -477,20 +498,20 @@ def hot_anchors(scanned: DataFrame, span: Span) -> np.ndarray:
     return np.sort(rows.column("a").to_numpy())
 
 
-def covered_spans(documents: DataFrame, span: Span) -> tuple[DataFrame, int]:
+def covered_spans(documents: DataFrame, span: Span) -> DataFrame:
     """Per (doc, sub) with something covered: ``spans``, the sorted starts and
-    lengths (start << 20 | length) of covered stretches, which may overlap; and
-    the bytes of all lists."""
+    lengths (start << 20 | length) of covered stretches, which may overlap."""
     sc = documents.sparkSession.sparkContext
     scanned = keyed(documents).where(F.octet_length("text") >= span.length)
     hot = sc.broadcast(hot_anchors(scanned, span))
     runs = scanned.mapInArrow(_scan(span, hot), ROW).repartition("k").sortWithinPartitions("k")
     told = stored(runs.mapInArrow(_judge(span), "doc long, pos long, n int, later boolean"))
-    open_runs, size = _sized(_lists(told.where("not later").select("doc", "pos", F.col("n").alias("length")), "runs"), "runs")
-    pieces = attach(scanned, open_runs, size, "inner").mapInArrow(_open_pieces(span, hot), PIECES)
+    open_runs = _lists(told.where("not later").select("doc", "pos", F.col("n").alias("length")), "runs")
+    with_runs = packed_texts(documents).join(open_runs, ["doc", "sub"])
+    pieces = with_runs.mapInArrow(_open_pieces(span, hot), PIECES)
     hit = pieces.repartition("k").sortWithinPartitions("k").mapInArrow(_settle(span), "doc long, pos long, length int")
     spans = told.where("later").select("doc", "pos", (F.col("n") + (span.length - 1)).alias("length"))
-    return _sized(_lists(spans.unionByName(hit), "spans"), "spans")
+    return _lists(spans.unionByName(hit), "spans")
 
 
 def _lists(rows: DataFrame, out: str) -> DataFrame:
@@ -499,12 +520,6 @@ def _lists(rows: DataFrame, out: str) -> DataFrame:
     return rows.groupBy("doc", F.shiftright("pos", START_BITS).alias("sub")).agg(F.sort_array(F.collect_list(packed)).alias(out))
 
 
-def _sized(lists: DataFrame, column: str) -> tuple[DataFrame, int]:
-    lists = stored(lists)
-    n = lists.agg(F.sum(F.size(column) * 8 + 48)).first()[0]
-    return lists, n or 0
-
-
 def merged(packed: np.ndarray | None) -> list[tuple[int, int]]:
     """Disjoint, non-touching (start, end) from sorted packed spans."""
     if packed is None or not len(packed):

@@ -24,14 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key
-from .repeats import Span, attach, covered_spans, merged
+from .repeats import Span, covered_spans, merged, packed_texts, unpacked
 
 
 def maximal_repeats(documents: DataFrame, length: int = 50, gram: int = 12) -> DataFrame:
     """(doc_id, start, end): word spans, maximal and disjoint, that are covered
     by windows which also start in a document with a smaller id."""
-    lists, _ = covered_spans(documents, Span("word", length, gram, False))
+    lists = covered_spans(documents, Span("word", length, gram, False))
     spans = lists.mapInPandas(_merge, "doc long, sub long, start long, end long")
     return spans.select(F.col("doc").alias("doc_id"), "sub", "start", "end")
 
@@ -47,19 +46,20 @@ def _merge(frames):
 def substring_dedup(documents: DataFrame, length: int = 50, gram: int = 12) -> DataFrame:
     """Each document without its repeated words: doc_id, n_words, n_removed,
     kept_text (kept words joined by one space), kept_sha256."""
-    lists, size = covered_spans(documents, Span("word", length, gram, False))
-    source = documents.select(doc_key().alias("doc"), F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1)).alias("sub"), "doc_id", "text")
-    return attach(source, lists, size, "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text binary, kept_sha256 string").withColumn("kept_text", F.col("kept_text").cast("string"))
+    lists = covered_spans(documents, Span("word", length, gram, False))
+    source = packed_texts(documents).join(lists, ["doc", "sub"], "left")
+    out = source.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text binary, kept_sha256 string")
+    return out.withColumn("kept_text", F.col("kept_text").cast("string"))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
             total, gone, kept, digests = [], [], [], []
             lists = part.column("spans")
-            for i, text in enumerate(part.column("text")):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+            for i, text in enumerate(unpacked(part.column("z"), part.column("n").to_numpy())):
+                words = text.split()
                 n = len(words)
                 if lists[i].is_valid:
                     for a, b in reversed(merged(lists[i].values.to_numpy())):

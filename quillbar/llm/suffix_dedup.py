@@ -27,29 +27,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import doc_key
-from .repeats import Span, attach, covered_spans, merged
+from .repeats import Span, covered_spans, merged, packed_texts, unpacked
 
 
 def suffix_dedup(documents: DataFrame, length: int = 100, gram: int = 20) -> DataFrame:
     """Each document without the bytes covered by ``length``-byte strings that
     also start earlier: doc_id, n_bytes, n_removed, n_spans, kept (binary),
     kept_sha256."""
-    lists, size = covered_spans(documents, Span("byte", length, gram, True))
-    source = documents.select(doc_key().alias("doc"), F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1)).alias("sub"), "doc_id", "text")
-    return attach(source, lists, size, "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    lists = covered_spans(documents, Span("byte", length, gram, True))
+    source = packed_texts(documents).join(lists, ["doc", "sub"], "left")
+    return source.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
             total, gone, runs, kept, digests = [], [], [], [], []
             lists = part.column("spans")
-            for i, text in enumerate(part.column("text")):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            for i, raw in enumerate(unpacked(part.column("z"), part.column("n").to_numpy())):
                 n, body = len(raw), raw
                 spans = merged(lists[i].values.to_numpy()) if lists[i].is_valid else []
                 if spans:
