@@ -41,7 +41,7 @@ MULTIPLIERS = (0x9E3779B97F4A7C1B, 0xD6E8FEB86659FD93)
 START_BITS = 38
 #: Rows that are compared at a time in a task (36 bytes each), and rows of a batch
 #: that a task hands on.
-ROWS, OUT = 1 << 19, 1 << 16
+ROWS, OUT = 1 << 18, 1 << 15
 #: Hot anchors are looked for in one of so many documents, and have at least so
 #: many runs there.
 SAMPLE, HOT = 64, 32
@@ -423,7 +423,7 @@ def _settle(span: Span):
     that stand earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_keys(batches, ROWS // 16):
+        for batch in whole_keys(batches, ROWS // 32):
             if not batch.num_rows:
                 continue
             w1, w2, doc, pos, n, later = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("w1", "w2", "doc", "pos", "n", "later"))
