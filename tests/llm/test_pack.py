@@ -132,8 +132,8 @@ def test_chat(spark):
     out = chat.link(chat.parse(turns(spark, rows + rows[:1])), SCHEMAS).collect()
     by = {(r["conv_id"], r["kind"], r["call_id"], r["turn"]): r for r in out}
     a, b = by[1, "call", "a", 1], by[1, "call", "b", 1]
-    assert a["depth"] == 0 and b["depth"] == 1 and a["linked"] and b["linked"]
-    assert by[1, "result", "b", 3]["depth"] == 2 and by[1, "result", "b", 3]["linked"] and not by[1, "result", "nope", 4]["linked"]
+    assert a["depth"] == 0 and b["depth"] == 2 and a["linked"] and b["linked"]
+    assert by[1, "result", "b", 3]["depth"] == 3 and by[1, "result", "b", 3]["linked"] and not by[1, "result", "nope", 4]["linked"]
     assert b["valid"] and a["errors"] == "how: not allowed; x: missing; y: unknown"
     assert by[1, "call", "c", 5]["errors"] == "unknown tool" and not by[1, "call", "c", 5]["linked"]
     assert by[2, "call", "p", 0]["depth"] is None and by[2, "call", "p", 0]["errors"] == "x: no number" and by[2, "call", "a", 0]["errors"] == "arguments are no object"
@@ -151,7 +151,7 @@ def test_chat_chain(spark):
     rows = [(7, i, "assistant", call((f"n{i}", "add", {"x": i}, f"n{i - 1}" if i else None))) for i in range(200)]
     random.Random(2).shuffle(rows)
     out = chat.link(chat.parse(turns(spark, rows)), SCHEMAS).collect()
-    assert all(r["depth"] == r["turn"] == r["order_turn"] for r in out)
+    assert all(r["depth"] == 2 * r["turn"] and r["turn"] == r["order_turn"] for r in out)
 
 
 def test_plain_chats(spark):
