@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .repeats import Rolling, groups, texts, word_tokens
 
+FOUND = "doc_id long, id long, item_id long, score double, end_word long"
 #: Words of test items handed to a task at once (about 40 bytes each).
 PART = 500_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -105,7 +106,7 @@ def _search(given, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, items, table = given.value
         for batch in batches:
-            docs = batch.column("doc_id")
+            docs, hashes = batch.column("doc_id"), batch.column("id")
             for i, j, words, at in tokens(batch.column("text")):
                 starts = set()
                 for n, (keys, which, place) in table.items():
@@ -143,14 +144,16 @@ def _search(given, least: float):
                                 found[text, k] = (float(s), int(a + e))
                 hits = sorted(found)
                 if hits:
+                    rows = pa.array([i + t for t, _ in hits])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            docs.take(pa.array([i + t for t, _ in hits])).cast(pa.int64()),
+                            docs.take(rows).cast(pa.int64()),
+                            hashes.take(rows),
                             pa.array([ids[k] for _, k in hits], pa.int64()),
                             pa.array([round(found[x][0], 6) for x in hits]),
                             pa.array([found[x][1] for x in hits], pa.int64()),
                         ],
-                        names=["doc_id", "item_id", "score", "end_word"],
+                        names=["doc_id", "id", "item_id", "score", "end_word"],
                     )
 
     return run
@@ -159,8 +162,13 @@ def _search(given, least: float):
 def contaminated(documents: DataFrame, benchmark: DataFrame, gram: int = 4, chance: float = 1.0, least: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, end_word): pairs of a document and a test item that
     it holds, whole or edited; score is the part of the item's full score."""
+    return found(documents, benchmark, gram, chance, least).drop("id")
+
+
+def found(documents: DataFrame, benchmark: DataFrame, gram: int = 4, chance: float = 1.0, least: float = 0.5) -> DataFrame:
+    """:func:`contaminated` with ``id``, the hash of the document's text."""
     spark, sc = documents.sparkSession, documents.sparkSession.sparkContext
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("id"), "text")
     parts: list[DataFrame] = []
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     held_ids: list[int | None] = []
@@ -175,7 +183,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, gram: int = 4, chan
         frequency = {r["w"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in rows if not r["total"]}
         total = sum(r["n"] for r in rows if r["total"])
         given = sc.broadcast((list(held_ids), list(held), seeds(held, frequency, total, gram, chance)))
-        parts.append(cut(source.mapInArrow(_search(given, least), "doc_id long, item_id long, score double, end_word long")))
+        parts.append(cut(source.mapInArrow(_search(given, least), FOUND)))
         given.unpersist()
 
     words = 0
@@ -189,7 +197,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, gram: int = 4, chan
         words += len(item)
     search()
     if not parts:
-        return spark.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
+        return spark.createDataFrame([], FOUND)
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

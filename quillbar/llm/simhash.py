@@ -36,7 +36,7 @@ BLOCK = 4096
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and ``fp`` (long): bit i is set if it is set in over half of the
+    """doc_id, ``id`` (hash of the text) and ``fp`` (long): bit i is set if it is set in over half of the
     XXH64 hashes (seed 42) of the lower-cased (A-Z) word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,9 +46,9 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
             out = np.zeros(batch.num_rows, dtype=np.uint64)
             for i in range(batch.num_rows):
                 out[i] = fingerprint(whole[offsets[i] : offsets[i + 1]], shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("id"), pa.array(out.view(np.int64))], names=["doc_id", "id", "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("id")).mapInArrow(run, "doc_id long, id long, fp long")
 
 
 WEIGHTS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
@@ -119,13 +119,19 @@ def _forest(distance: int):
     return run
 
 
-def simhash_components(documents: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id of the fingerprint's
-    connected component; one row per row of ``documents``."""
+def members(documents: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """doc_id, id, fp, component_id and ``root``, which names the component even
+    where doc_ids are null or repeated; one row per row of ``documents``."""
     marked = cut(fingerprints(documents, shingle))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(distinct.select("fp"), distance))
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     ids = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = joined.join(ids, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = joined.join(ids, "root").select("fp", "component_id", "root")
+    return marked.join(by_fp, "fp").select("doc_id", "id", "fp", "component_id", "root")
+
+
+def simhash_components(documents: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id of the fingerprint's
+    connected component; one row per row of ``documents``."""
+    return members(documents, shingle, distance).select("doc_id", "fp", "component_id")

@@ -242,6 +242,27 @@ def test_pipeline_stages_on_odd_rows(spark):
     assert sum(r["doc_id"] == 9005 for r in kept) == 1 and not any(r["doc_id"] == 9001 for r in kept)
 
 
+def test_stages_remove_by_id_and_text(spark):
+    """Null and repeated doc_ids: only copies and leaks go, whatever shares their id."""
+    import corpus_pipeline as P
+
+    r = random.Random(11)
+    text = lambda: " ".join("".join(r.choice("abcdefghijklm") for _ in range(6)) for _ in range(40))
+    a, b, c, d, e, leak = (text() for _ in range(6))
+    rows = [(1, a), (None, a), (None, b), (None, c), (2, d), (2, e), (3, d), (4, e), (4, e)]
+    docs = documents(spark, [(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)])
+    kept = sorted(((x["doc_id"] or 0, x["text"], x["source"]) for x in P.near_dedup(spark, docs, DATA).collect()), key=str)
+    assert kept == sorted([(1, a, "s0"), (0, b, "s2"), (0, c, "s3"), (2, d, "s4"), (2, e, "s5")], key=str)
+    again = documents(spark, [(7, a, "en", "y", 0), (7, a, "en", "x", 0), (None, b, "en", "z", 0), (None, b, "en", "w", 0)])
+    assert {(x["doc_id"], x["source"]) for x in P.near_dedup(spark, again, DATA).collect()} == {(7, "x"), (None, "w")}
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/leaks"
+    bench.write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    rows = [(None, a), (None, f"{b} {leak}"), (5, c), (5, f"{d} {leak}")]
+    left = P.decontaminate(spark, documents(spark, [(i, t, "en", "s", 0) for i, t in rows]), folder).collect()
+    assert {(x["doc_id"], x["text"]) for x in left} == {(None, a), (5, c)}
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
