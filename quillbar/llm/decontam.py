@@ -1,13 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
-
-Words are lower-cased (A-Z) with ASCII punctuation taken as space. A seed is a
-``gram``-word sequence of a test item that is rare: by the corpus's own word
-frequencies fewer than ``chance`` copies would be expected anywhere. (A passage
-planted in many documents stays rare by this measure; counting whole n-grams would
-make it common.) An item without a rare one keeps its rarest; an item shorter than
-``gram`` words is one seed. Wherever a document has a seed, the stretch around it
-is aligned with the item (match 2, mismatch -1, gap -1), and the pair is reported
-if the best local score reaches ``least`` of the item's full score.
+"""Benchmark decontamination: seeds by a counting bound, then Smith-Waterman.
+
+Words are lower-cased (A-Z) with ASCII punctuation taken as space. A document and a
+test item of n words are aligned (match 2, mismatch -1, gap -1) and reported if the
+best local score reaches ``least`` of the item's full score, 2n. Such an alignment
+matches at least ``least`` * n of the item's places and has at most R = 2n(1 - least)
+gaps. So of any n - least * n + c places it matches c, on diagonals at most R apart.
+The seeds of an item are those n - least * n + c places whose words are rarest in the
+corpus, c being an eighth of the item; wherever c of them meet a document's words
+within 2R diagonals, the stretch is aligned. No pair is lost by this, whatever the
+words' frequencies and however the copy's edits are spread; frequencies only settle
+how many stretches are aligned in vain.
 
 Test items are handed to the tasks in parts of at most ``PART`` words, one pass over
 the corpus per part; documents never shuffle. Null or empty texts and items match
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .repeats import Rolling, groups, texts, word_tokens
+from .repeats import groups, texts, word_tokens
 
 FOUND = "doc_id long, id long, item_id long, score double, end_word long"
 #: Words of test items handed to a task at once (about 40 bytes each).
@@ -48,38 +50,55 @@ def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 def _frequencies(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
-        seen, total = np.zeros(len(known), np.int64), 0
+        seen = np.zeros(len(known), np.int64)
         for batch in batches:
             for _, _, words, _ in tokens(batch.column("text")):
-                total += len(words)
                 k = np.minimum(np.searchsorted(known, words), len(known) - 1)
                 seen += np.bincount(k[known[k] == words], minlength=len(known))
         at = np.flatnonzero(seen)
-        word = np.append(known[at].view(np.int64), 0)
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.append(seen[at], total)), pa.array(np.append(np.zeros(len(at), bool), True))], names=["w", "n", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array(known[at].view(np.int64)), pa.array(seen[at])], names=["w", "n"])
 
     return run
 
 
-def seeds(items: list[np.ndarray], frequency: dict[int, int], total: int, gram: int, chance: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By gram length: sorted seed hashes, their items and their places."""
-    found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for k, words in enumerate(items):
-        n = min(gram, len(words))
-        if not n:
-            continue
-        logs = np.array([math.log(max(1, frequency.get(int(w), 0)) / max(1, total)) for w in words])
-        expected = np.convolve(logs, np.ones(n), "valid") + math.log(max(1, total))
-        names = Rolling(words, 1).every(n)
-        rare = np.flatnonzero(expected <= math.log(chance))
-        for p in rare if len(rare) else [int(expected.argmin())]:
-            found[n].append((int(names[p]), k, int(p)))
-    out = {}
-    for n, rows in found.items():
-        rows.sort()
-        h, k, p = zip(*rows, strict=True)
-        out[n] = (np.array(h, dtype=np.uint64), np.array(k), np.array(p))
-    return out
+def seeds(items: list[np.ndarray], frequency: dict[int, int], least: float) -> tuple[np.ndarray, ...]:
+    """Sorted seed words; the bounds of their postings, and those (item, place);
+    by item: how many places must meet, and R."""
+    words, which, place = [], [], []
+    counts, reach = np.ones(len(items), np.int64), np.ones(len(items), np.int64)
+    for k, item in enumerate(items):
+        n = len(item)
+        need = max(1, math.ceil(least * n - 1e-9))
+        counts[k] = c = min(need, -(-n // 8)) or 1
+        reach[k] = max(1, math.ceil(2 * n * (1 - least)))
+        rarest = np.argsort([frequency.get(int(w), 0) for w in item], kind="stable")[: n - need + c]
+        words.append(item[rarest]), which.append(np.full(len(rarest), k)), place.append(rarest)
+    word = np.concatenate(words)
+    order = np.argsort(word, kind="stable")
+    known, first = np.unique(word[order], return_index=True)
+    return known, np.append(first, len(word)), np.concatenate(which)[order], np.concatenate(place)[order].astype(np.int64), counts, reach
+
+
+def candidates(words: np.ndarray, at: np.ndarray, table: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, b): where enough seeds meet on the diagonals b * R to (b + 2) * R."""
+    known, bounds, which, place, counts, reach = table
+    found = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    p = np.flatnonzero(known[found] == words)
+    lo, n = bounds[found[p]], np.diff(bounds)[found[p]]
+    post = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+    p = np.repeat(p, n)
+    text, item = np.searchsorted(at, p, "right") - 1, which[post]
+    _, cell, hits = np.unique(text * len(counts) + item, return_inverse=True, return_counts=True)
+    on = hits[cell] >= counts[item]
+    text, item, cell, q = text[on], item[on], cell[on], place[post[on]]
+    b = (p[on] - at[text] - q) // reach[item]
+    text, item, cell, q, b = np.tile(text, 2), np.tile(item, 2), np.tile(cell, 2), np.tile(q, 2), np.concatenate((b, b - 1))
+    if not len(b):
+        return text, item, b
+    _, one, meet = np.unique(cell * (b.max() - b.min() + 1) + b - b.min(), return_index=True, return_inverse=True)
+    places = np.unique(meet * (q.max() + 1) + q) // (q.max() + 1)  # a place counts once
+    one = one[np.bincount(places, minlength=len(one)) >= counts[item[one]]]
+    return text[one], item[one], b[one]
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,34 +127,20 @@ def _search(given, least: float):
         for batch in batches:
             docs, hashes = batch.column("doc_id"), batch.column("id")
             for i, j, words, at in tokens(batch.column("text")):
-                starts = set()
-                for n, (keys, which, place) in table.items():
-                    if len(words) < n:
-                        continue
-                    h = Rolling(words, 1).every(n)
-                    lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-                    for p in np.flatnonzero(hi > lo):
-                        text = int(np.searchsorted(at, p, "right")) - 1
-                        if p + n > at[text + 1]:
-                            continue
-                        for s in range(lo[p], hi[p]):
-                            slack = len(items[which[s]]) // 2 + 4
-                            starts.add((text, int(which[s]), (int(p) - int(place[s])) // slack))
                 todo = defaultdict(list)
-                for text, k, d in sorted(starts):
-                    todo[k].append((text, d))
+                for text, k, b in zip(*(x.tolist() for x in candidates(words, at, table)), strict=True):
+                    todo[k].append((text, b * int(table[-1][k])))
                 found: dict[tuple[int, int], tuple[float, int]] = {}
                 for k, cases in todo.items():
                     size = len(items[k])
-                    slack = size // 2 + 4
-                    width = size + 3 * slack
+                    width = size + 2 * int(table[-1][k])
                     for lo_c in range(0, len(cases), 256):
                         part = cases[lo_c : lo_c + 256]
                         grid = np.zeros((len(part), width), dtype=np.uint64)
                         begin = []
                         for r, (text, d) in enumerate(part):
-                            a = max(at[text], d * slack - slack)
-                            b = min(at[text + 1], d * slack - slack + width)
+                            a = max(at[text], at[text] + d)
+                            b = min(at[text + 1], at[text] + d + width)
                             grid[r, : b - a] = words[a:b]
                             begin.append(a - at[text])
                         score, end = align(items[k], grid)
@@ -159,13 +164,13 @@ def _search(given, least: float):
     return run
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, gram: int = 4, chance: float = 1.0, least: float = 0.5) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, end_word): pairs of a document and a test item that
     it holds, whole or edited; score is the part of the item's full score."""
-    return found(documents, benchmark, gram, chance, least).drop("id")
+    return found(documents, benchmark, least).drop("id")
 
 
-def found(documents: DataFrame, benchmark: DataFrame, gram: int = 4, chance: float = 1.0, least: float = 0.5) -> DataFrame:
+def found(documents: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """:func:`contaminated` with ``id``, the hash of the document's text."""
     spark, sc = documents.sparkSession, documents.sparkSession.sparkContext
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("id"), "text")
@@ -178,11 +183,10 @@ def found(documents: DataFrame, benchmark: DataFrame, gram: int = 4, chance: flo
         vocabulary = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
         if not len(vocabulary):
             return
-        counted = source.select("text").mapInArrow(_frequencies(sc.broadcast(vocabulary)), "w long, n long, total boolean")
-        rows = counted.groupBy("w", "total").agg(F.sum("n").alias("n")).collect()  # at most PART rows
-        frequency = {r["w"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in rows if not r["total"]}
-        total = sum(r["n"] for r in rows if r["total"])
-        given = sc.broadcast((list(held_ids), list(held), seeds(held, frequency, total, gram, chance)))
+        counted = source.select("text").mapInArrow(_frequencies(sc.broadcast(vocabulary)), "w long, n long")
+        rows = counted.groupBy("w").agg(F.sum("n").alias("n")).collect()  # at most PART rows
+        frequency = {r["w"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in rows}
+        given = sc.broadcast((list(held_ids), list(held), seeds(held, frequency, least)))
         parts.append(cut(source.mapInArrow(_search(given, least), FOUND)))
         given.unpersist()
 

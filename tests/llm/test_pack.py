@@ -216,6 +216,33 @@ def test_leaks(spark, monkeypatch):
     assert decontam.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_leaks_edited_throughout(spark):
+    """All pairs that Smith-Waterman over the whole text finds, in a corpus of few words."""
+    import numpy as np
+
+    r = random.Random(21)
+    vocabulary = ["".join(r.choice("abcdefghijklm") for _ in range(5)) for _ in range(150)]
+    filler = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [filler(r.randint(12, 45)) for _ in range(10)] + [filler(k) for k in (2, 3, 5)]
+    changed = lambda item, step: [f"x{r.random()}"[:9].replace(".", "") if k % step == step - 1 else w for k, w in enumerate(item)]
+    texts = [filler(300) for _ in range(30)]
+    for item in items:
+        for copy in (changed(item, 3), changed(item, 4), [y for w in item for y in (w, "zz")], item[: len(item) // 2 + 1], item[::2]):
+            texts.append(filler(70) + copy + filler(r.randint(0, 70)))
+    docs = documents(spark, [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)])
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontam.contaminated(docs, bench).collect()}
+    number = defaultdict(lambda: len(number) + 1)
+    grid = np.zeros((len(texts), max(map(len, texts))), np.uint64)
+    for i, t in enumerate(texts):
+        grid[i, : len(t)] = [number[w] for w in t]
+    want = {}
+    for k, item in enumerate(items):
+        score, _ = decontam.align(np.array([number[w] for w in item], np.uint64), grid)
+        want |= {(i, k): round(float(s), 6) for i, s in enumerate(score / (2 * len(item))) if s >= 0.5}
+    assert got == want and all((30 + 5 * k + e, k) in want for k in range(10) for e in range(3))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
