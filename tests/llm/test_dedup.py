@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillbar.llm import line_dedup, repeats, simhash, substring_dedup, suffix_dedup
+from quillbar.llm import line_dedup, near_copies, repeats, simhash, substring_dedup, suffix_dedup
 from quillbar.llm.common import components
 from tests.helpers import DATA
 from tests.llm.rows import ODD, documents, odd_documents
@@ -194,6 +194,39 @@ def test_simhash_edges(spark):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 4)
 
 
+@pytest.mark.parametrize("few,block", [(16, 512), (1, 3)])
+def test_near_copies(spark, monkeypatch, few, block):
+    """Groups by exact 5-word similarity of 0.8, in pairs and in blocks of large keys."""
+    monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for _ in range(25):
+        base = [word() for _ in range(r.randint(60, 200))]
+        rows.append(base)
+        for edits in (0, 1, 2, 3, 5, 9):
+            copy = list(base)
+            for _ in range(edits):
+                copy[r.randrange(len(copy))] = word()
+            rows.append(copy)
+    rows += [["Only", "three", "words"], ["only", "THREE", "words"], ["other", "words"], [], []]
+    docs = documents(spark, [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(rows)])
+    got = defaultdict(set)
+    for x in near_copies.members(docs).collect():
+        got[x["root"]].add(x["doc_id"])
+    sets = [{tuple(w.lower() for w in t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    want = defaultdict(set)
+    for i, x in enumerate(label):
+        want[x].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
