@@ -239,7 +239,8 @@ def distance(a, b):
 def line_rows():
     r = random.Random(5)
     alphabet = "abc dé"
-    base = ["".join(r.choice(alphabet) for _ in range(r.randint(10, 40))) for _ in range(12)] + ["one two three four five six", "x" * 20, "ab" * 12, "aaaa bbbb cccc dddd"]
+    base = ["".join(r.choice(alphabet) for _ in range(r.choice([1, 2, 3, 5, 8, 13, 15, 17, *range(10, 40)]))) for _ in range(30)] + ["one two three four five six", "x" * 20, "ab" * 12, "aaaa bbbb cccc dddd"]
+    base += ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in range(6, 18)]
 
     def edited(s):
         s = list(s)
@@ -254,43 +255,74 @@ def line_rows():
                 s[min(at, len(s) - 1)] = r.choice(alphabet)
         return "".join(s)
 
-    return [(i, "\n".join([edited(r.choice(base)) for _ in range(r.randint(0, 9))] + [""] * r.randint(0, 2)), "en", "s", 0) for i in range(40)]
+    return [(i, "\n".join([edited(r.choice(base)) for _ in range(r.randint(0, 9))] + [""] * r.randint(0, 2)), "en", "s", 0) for i in range(50)]
 
 
 @pytest.mark.parametrize("pairs,edits", [(256, 2), (0, 2), (0, 1)])
 def test_edited_lines(spark, monkeypatch, pairs, edits):
-    """Links and results; with pairs = 0 every segment is refined by rare tokens."""
+    """Links and results; with pairs = 0 every segment's lines meet by rare tokens."""
     monkeypatch.setattr(line_dedup, "PAIRS", pairs)
     rows = line_rows()
     docs = documents(spark, rows)
     lines = [(d, n, x) for d, t, *_ in rows for n, x in enumerate(t.split("\n")) if x.strip(" ")]
     distinct = sorted({x for *_, x in lines})
-    linked = {(x, y) for i, y in enumerate(distinct) for x in distinct[:i] if min(len(x), len(y)) >= 16 and distance(x, y) <= edits}
+    linked = {(x, y) for i, y in enumerate(distinct) for x in distinct[:i] if abs(len(x) - len(y)) <= edits and distance(x, y) <= edits}
     by_hash = {r["h"]: r["line"] for r in line_dedup.lines(docs).select("h", "line").distinct().collect()}
-    got = {tuple(sorted((by_hash[r["u"]], by_hash[r["v"]]))) for r in line_dedup.similar_lines(line_dedup.lines(docs), edits).collect()}
-    assert got == linked
-    parent = {x: x for x in distinct}
+    got = {tuple(sorted((by_hash[r["u"]], by_hash[r["v"]]))) for r in line_dedup.line_links(line_dedup.lines(docs), edits).collect()}
+    assert got <= linked
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
+    def roots_of(pairs):
+        parent = {x: x for x in distinct}
 
-    for x, y in linked:
-        a, b = sorted((find(x), find(y)))
-        parent[b] = a
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in pairs:
+            a, b = sorted((find(x), find(y)))
+            parent[b] = a
+        return {x: find(x) for x in distinct}
+
+    root = roots_of(linked)
+    assert roots_of(got) == root
+    assert len({x for x in distinct if len(x) < 16 and root[x] != x}) > 5
     want, roots, seen = {d: [0, 0, 0] for d, *_ in rows}, set(), set()
     for d, _, x in lines:
         want[d][0] += 1
-        if find(x) in roots:
+        if root[x] in roots:
             want[d][1] += 1
             want[d][2] += x not in seen
-        roots.add(find(x))
+        roots.add(root[x])
         seen.add(x)
     assert {r["doc_id"]: [r["n_lines"], r["n_removed"], r["n_edited"]] for r in line_dedup.line_dedup(docs, edits).collect()} == want
     assert line_dedup.removed_lines(docs, edits).count() == sum(w[1] for w in want.values())
 
 
+@pytest.mark.parametrize("edits", [0, 1, 2, 3, 4])
+def test_bit_parallel_distance(spark, edits):
+    r = random.Random(edits)
+    rows = [("", ""), ("", "ab"), ("ab", ""), ("\U0001f600é", "é")]
+    for _ in range(400):
+        x = "".join(r.choice("abé\U0001f600") for _ in range(r.randint(0, 14)))
+        y = list(x)
+        for _ in range(r.randint(0, 6)):
+            at = r.randrange(len(y) + 1)
+            y[at : at + r.randint(0, 1)] = r.choice(["", "a", "b"])
+        rows.append((x, "".join(y)))
+    out = spark.createDataFrame(rows, "x string, y string").select("x", "y", line_dedup.within(F.col("x"), F.col("y"), edits).alias("near")).collect()
+    assert all(o["near"] == (distance(o["x"], o["y"]) <= edits) for o in out)
+
+
+def test_mutually_linked_lines(spark):
+    """10,000 lines that are all within two edits of each other: a few links a line."""
+    number = lambda i: chr(0x4E00 + i // 100) + chr(0x5E00 + i % 100)
+    text = "\n".join(f"the running foot of a long report, page {number(i)}, all rights reserved" for i in range(10_000))
+    docs = documents(spark, [(1, text, "en", "s", 0)])
+    assert line_dedup.line_links(line_dedup.lines(docs)).count() <= 100_000  # a pair has nine rare tokens, a group two pivots
+    assert [tuple(r) for r in line_dedup.line_dedup(docs).collect()] == [(1, 10_000, 9_999, 9_999)]
+
+
 def test_lines_edges(spark):
     rows = line_dedup.line_dedup(odd_documents(spark)).collect()
     assert len(rows) == len(ODD)
