@@ -205,9 +205,9 @@ def quality_classifier(documents: DataFrame, labels: DataFrame, order: int = 5,
 
     known = cut(scored(trusted))
     seen, unseen = known.where(~held_out()), known.where(held_out())
-    low, high = bounds(seen, []).first(), bounds(unseen, []).first()
-    low = float("-inf") if low is None else low["low"]
-    high = float("inf") if high is None else high["high"]
+    low, high = bounds(seen, []).first()["low"], bounds(unseen, []).first()["high"]
+    low = float("-inf") if low is None else low  # no trusted documents
+    high = float("inf") if high is None else high
     per = bounds(seen, ["lang"]).select(F.col("lang").alias("_l"), "low")
     per = per.join(bounds(unseen, ["lang"]).select(F.col("lang").alias("_m"), "high"), F.col("_l").eqNullSafe(F.col("_m")), "left").drop("_m")
     out = scored(rows).join(maybe_broadcast(cut(per)), F.col("lang").eqNullSafe(F.col("_l")), "left")

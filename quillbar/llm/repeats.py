@@ -31,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_key, stored
+from .common import cut, stored
 
 U = np.uint64
 #: Text is hashed in pieces of about this many bytes, so that work arrays stay small.
 PIECE = 1 << 20
 #: Fixed odd multipliers, = 3 modulo 8.
 MULTIPLIERS = (0x9E3779B97F4A7C1B, 0xD6E8FEB86659FD93)
-START_BITS = 38
+#: Of a place: the lower bits are the start in the text (under 2 GB), the rest tells
+#: apart texts under one doc_id.
+START_BITS = 31
 #: Rows that are compared at a time in a task (36 bytes each), and rows of a batch
 #: that a task hands on.
 ROWS, OUT = 1 << 18, 1 << 15
@@ -118,9 +120,9 @@ def is_space(raw: np.ndarray) -> np.ndarray:
     return (raw == 32) | ((raw >= 9) & (raw <= 13))
 
 
-def word_tokens(raw: np.ndarray, which: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash per word of the concatenated texts ``raw``, and the word bounds of
-    the texts whose byte bounds are ``bounds``."""
+def word_edges(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in the concatenated texts ``raw``, whose byte bounds
+    are ``bounds``."""
     gap = np.ones(len(raw) + 2, dtype=bool)
     gap[1:-1] = is_space(raw)
     first = ~gap[1:-1] & gap[:-2]
@@ -129,7 +131,12 @@ def word_tokens(raw: np.ndarray, which: int, bounds: np.ndarray) -> tuple[np.nda
     inner = inner[(inner > 0) & (inner < len(raw))]  # a text's end also ends a word
     first[inner] |= ~gap[1:-1][inner]
     last[inner - 1] |= ~gap[1:-1][inner - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_tokens(raw: np.ndarray, which: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash per word, and the word bounds of the texts."""
+    start, end = word_edges(raw, bounds)
     table = byte_table(which)
     hashes = np.zeros(len(start), dtype=U)
     for lo in range(0, len(start), PIECE // 8):
@@ -349,7 +356,7 @@ PIECES = "k long, w1 long, w2 long, doc long, pos long, n int, block binary, lat
 
 def _open_pieces(span: Span, hot):
     """What open runs have to be compared by, dealt by anchor: bytes of a run's
-    block; or, for words and for hot anchors, a row per window, dealt by its name."""
+    block; or, for hot anchors, a row per window, dealt by its name."""
 
     def windows(first: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         w1, w2, doc, pos = first
@@ -377,24 +384,25 @@ def _open_pieces(span: Span, hot):
                     continue
                 text = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
                 start, count = packed >> 20, packed & 0xFFFFF
-                by_window = np.ones(len(packed), dtype=bool)
-                if span.unit == "byte":
-                    a = np.zeros(len(packed), dtype=np.int64)
-                    where = tok_at[text] + start
-                    for lo in range(0, len(packed), 4096):
-                        s = slice(lo, lo + 4096)
-                        first, last = int(where[s].min()), int(where[s].max()) + span.length
-                        inner = np.arange(span.length - span.gram + 1)
-                        grams = Rolling(tok1[first:last], 0).at((where[s] - first)[:, None] + inner, span.gram)
-                        a[s] = grams[np.arange(len(grams)), (grams >> U(21)).argmin(axis=1)].view(np.int64)
-                    by_window = is_in(a, hot.value)
-                    m = np.flatnonzero(~by_window)
-                    for lo in range(0, len(m), OUT // 8):
-                        s = m[lo : lo + OUT // 8]
-                        blocks = pa.array([piece[x : x + y].tobytes() for x, y in zip(where[s].tolist(), (count[s] + span.length - 1).tolist(), strict=True)], pa.binary())
-                        d = doc[i + text[s]]
-                        none = np.zeros(len(s), np.int64)
-                        yield batch_of({"k": a[s], "w1": none, "w2": none, "doc": d, "pos": (sub[i + text[s]] << START_BITS) + start[s], "n": count[s].astype(np.int32), "block": blocks, "later": np.zeros(len(s), bool)})
+                a = np.zeros(len(packed), dtype=np.int64)
+                where = tok_at[text] + start
+                for lo in range(0, len(packed), 4096):
+                    s = slice(lo, lo + 4096)
+                    first, last = int(where[s].min()), int(where[s].max()) + span.length
+                    inner = np.arange(span.length - span.gram + 1)
+                    grams = Rolling(tok1[first:last], 0).at((where[s] - first)[:, None] + inner, span.gram)
+                    a[s] = grams[np.arange(len(grams)), (grams >> U(21)).argmin(axis=1)].view(np.int64)
+                by_window = is_in(a, hot.value)
+                begin_at, end_at = word_edges(piece, bounds) if span.unit == "word" else (None, None)
+                m = np.flatnonzero(~by_window)
+                for lo in range(0, len(m), OUT // 8):
+                    s = m[lo : lo + OUT // 8]
+                    x, y = where[s], where[s] + count[s] + span.length - 2
+                    edges = (x, y + 1) if span.unit == "byte" else (begin_at[x], end_at[y])
+                    blocks = pa.array([piece[x:y].tobytes() for x, y in zip(*(e.tolist() for e in edges), strict=True)], pa.binary())
+                    d = doc[i + text[s]]
+                    none = np.zeros(len(s), np.int64)
+                    yield batch_of({"k": a[s], "w1": none, "w2": none, "doc": d, "pos": (sub[i + text[s]] << START_BITS) + start[s], "n": count[s].astype(np.int32), "block": blocks, "later": np.zeros(len(s), bool)})
                 m = np.flatnonzero(by_window)
                 for lo in range(0, len(m), 4096):
                     s = m[lo : lo + 4096]
@@ -440,9 +448,10 @@ def _settle(span: Span):
             if not len(r):
                 continue
             raw, at = texts(batch.column("block").take(pa.array(r)))
+            *tokens, at = tokens_of(raw, at, span.unit)
             run_of = np.repeat(np.arange(len(r)), n[r])
             start = expand(at[:-1], n[r].astype(np.int64))
-            names = [Rolling(byte_table(q)[raw], q).at(start, span.length).view(np.int64) for q in (0, 1)]
+            names = [Rolling(tok, q).at(start, span.length).view(np.int64) for q, tok in enumerate(tokens)]
             place = pos[r][run_of] + start - at[run_of]
             hit = np.flatnonzero(after_first(*names, doc[r][run_of], place, span))
             if not len(hit):
@@ -457,13 +466,19 @@ def _settle(span: Span):
 
 
 def text_key() -> Column:
-    return F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1))
+    """Tells apart different texts under one doc_id."""
+    return F.xxhash64("text").bitwiseAND(F.lit((1 << 63 - START_BITS) - 1))
+
+
+def order_key() -> Column:
+    """doc_id; null ids stand behind all others (below 2**62), by a hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(F.lit(29), "text"), 2).bitwiseOR(F.lit(1 << 62)))
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """text with its key: doc (doc_id, null last) and sub, which tells apart
-    different texts under one doc_id."""
-    return documents.select(doc_key().alias("doc"), text_key().alias("sub"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """text with its key: doc (see order_key) and sub, which tells apart different
+    texts under one doc_id."""
+    return documents.select(order_key().alias("doc"), text_key().alias("sub"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def packed_texts(documents: DataFrame) -> DataFrame:
@@ -479,7 +494,7 @@ def packed_texts(documents: DataFrame) -> DataFrame:
                 z = [pa.compress(whole[x:y], codec="zstd", asbytes=True) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc", "sub", "doc_id")), pa.array(np.diff(offsets)), pa.array(z, pa.binary())], names=["doc", "sub", "doc_id", "n", "z"])
 
-    columns = (doc_key().alias("doc"), text_key().alias("sub"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    columns = (order_key().alias("doc"), text_key().alias("sub"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return documents.select(*columns).mapInArrow(run, "doc long, sub long, doc_id long, n long, z binary")
 
 

@@ -7,13 +7,16 @@ bytes together, and stores the result as the next version. Only the map and the
 sums of slots (a fixed number of rows, ``slots``) are ever on the driver.
 
 Null text: 8 bytes, checksum 0. Null doc_id: hashed by its text. Repeated rows are
-dealt as any other. Empty table: empty result, an even map.
+dealt as any other. Empty table: empty result, an even map. A stored map with another
+number of slots, or of more shards than asked for: an error.
 """
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,13 @@ def save_map(spark: SparkSession, path: str, version: int, shard_of: list[int])
     spark.createDataFrame(rows, "version int, vslot int, shard int").coalesce(1).write.mode("append").parquet(path)
 
 
+def has_map(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.schema("version int, vslot int, shard int").parquet(path).isEmpty()
+    except AnalysisException:  # nothing there yet
+        return False
+
+
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The map of one version (the latest if None)."""
     every = spark.read.schema("version int, vslot int, shard int").parquet(path)
@@ -80,12 +90,15 @@ def shard(documents: DataFrame, shards: int = 24, slots: int = 4096, path: str |
     for vslot, size in rows.groupBy("vslot").agg(F.sum("size")).collect():  # at most ``slots`` rows
         load[vslot] = size
     if path is None:
-        import uuid
-
         path = f"{shared_dir(spark)}/shard-maps/{uuid.uuid4().hex}"
+    if not has_map(spark, path):
         save_map(spark, path, 0, even_map(slots, shards))
-    known = load_map(spark, path).collect()
+    known = load_map(spark, path).collect()  # one row a slot
     old = [r["shard"] for r in sorted(known, key=lambda r: r["vslot"])]
+    if len(old) != slots:
+        raise ValueError(f"the map at {path} has {len(old)} slots, not {slots}: slots never change")
+    if max(old) >= shards:
+        raise ValueError(f"the map at {path} uses {max(old) + 1} shards; emptying shards is not offered")
     version = known[0]["version"] + 1
     save_map(spark, path, version, rebalance(old, load, shards))
     placed = rows.join(F.broadcast(load_map(spark, path, version)), "vslot")  # ``slots`` rows

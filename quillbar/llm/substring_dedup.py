@@ -1,15 +1,18 @@
 """Substring dedup over words: seed and extend.
 
 Seeds are winnowed anchors (12-word grams, lowest hash of each 50-word window);
-documents meet where they share one. A seed is extended both ways: first the
-whole stretch of windows around it at once, then, where the stretches differ,
-window by window, so that passages that thousands of documents share never form
-document pairs. What is left, merged, are the maximal repeats of at least
-``length`` words. Work is a fixed number of rows per run of windows and per
-window next to a passage's end; hot anchors are counted before they are shuffled
-and met in equi-joins that adaptive execution splits.
+documents meet where they share one, in the anchor's bucket. First the whole stretch
+of windows around an anchor is compared at once, so copies are done with. Where the
+stretches differ, they are brought to the bucket as text, and the seed is extended
+both ways there: by l words to the left and by what the threshold then lacks to the
+right, for every l that the stretch has room for. An extension that a document with a
+smaller id has too is covered. Covered extensions, merged, are the maximal repeats of
+at least ``length`` words. Passages that thousands of documents share never form
+document pairs, and an anchor with very many different stretches is dealt by its
+extensions' names instead.
 
-Null text: no words. Null doc_id: behind every other id, equal to other nulls.
+Null text: no words. Null doc_id: behind every other id (ids are below 2**62), among
+themselves by a hash of the text.
 Rows that repeat a doc_id are one document for the rule (none is smaller). Texts
 under ``length`` words: nothing to remove. Other columns are left out of the way.
 """
@@ -29,10 +32,10 @@ from .repeats import Span, covered_spans, merged, packed_texts, unpacked
 
 def maximal_repeats(documents: DataFrame, length: int = 50, gram: int = 12) -> DataFrame:
     """(doc_id, start, end): word spans, maximal and disjoint, that are covered
-    by windows which also start in a document with a smaller id."""
+    by windows which also start in a document with a smaller id (null ids: null)."""
     lists = covered_spans(documents, Span("word", length, gram, False))
     spans = lists.mapInPandas(_merge, "doc long, sub long, start long, end long")
-    return spans.select(F.col("doc").alias("doc_id"), "sub", "start", "end")
+    return spans.select(F.when(F.col("doc") < 1 << 62, F.col("doc")).alias("doc_id"), "sub", "start", "end")
 
 
 def _merge(frames):

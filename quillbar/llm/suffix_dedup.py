@@ -14,7 +14,8 @@ two documents start at unrelated residues, and each suffix would have to enter
 one bucket per residue of the cover (seven for period 32, 0.22 sampled positions
 per byte against 0.024 here). See the README.
 
-Null text: no bytes. Null doc_id: behind all others. Rows that repeat a doc_id
+Null text: no bytes. Null doc_id: behind all others (ids are below 2**62), by a hash of
+the text. Rows that repeat a doc_id
 with another text are ordered by a hash of the text; identical rows count as one.
 Texts under ``length`` bytes: nothing to remove.
 """

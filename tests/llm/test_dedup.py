@@ -121,6 +121,20 @@ def test_repeats_edges(spark):
     assert any(r["doc_id"] == 9008 and r["start"] == 0 and r["end"] == 60_000 for r in spans)
 
 
+def test_repeats_of_null_ids(spark):
+    """5,000 texts without an id: only the repeated passage goes, and only once each."""
+    r = random.Random(17)
+    said = " ".join(f"w{i}" for i in range(60))
+    texts = [" ".join(f"{r.getrandbits(40):x}" for _ in range(55)) for _ in range(5000)]
+    rows = [(None, t) for t in texts] + [(None, f"{texts[0]} {said}"), (None, f"{said} more"), (3, f"x {said}")]
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    gone = {x["kept_text"]: x["n_removed"] for x in substring_dedup.substring_dedup(docs).collect()}
+    removed = sorted(n for n in gone.values() if n)
+    assert gone[f"x {said}"] == 0 and gone["more"] == 60 and len(removed) == 2 or removed == [55, 60, 60]
+    raw = suffix_dedup.suffix_dedup(docs).collect()
+    assert sum(x["n_removed"] > 0 for x in raw) in (2, 3)
+
+
 def brute_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     if not words:
