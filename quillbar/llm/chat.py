@@ -12,7 +12,7 @@ every message is written as canonical JSON (sorted keys, no spaces, UTF-8).
 
 Null conv_id or call id: never linked. An id used by several calls of a conversation
 names the earliest; the others are not linked. A chain that returns to itself has
-null depth and sorts by its own turn. Null text counts as null content. Extra
+null depth and sorts by its own turn. Null text or payload counts as null content. Extra
 columns are left out. Repeated rows are repeated in the result.
 """
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -59,23 +59,37 @@ def parse(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", "text").mapInPandas(run, NODE)
 
 
-def turns_as_calls(conversations: DataFrame, tool: str = "reply") -> DataFrame:
-    """Nodes of plain chats: a user's turn calls ``tool`` with its text as prompt;
-    an assistant's turn answers the turn before
-    it; other roles are messages."""
-    role, turn, text = F.col("role"), F.col("turn").cast("long"), F.col("text")
-    user, assistant = F.coalesce(role == "user", F.lit(False)), F.coalesce(role == "assistant", F.lit(False))
-    prompt = F.to_json(F.struct(text.alias("prompt")), {"ignoreNullFields": "false"})
-    plain = F.to_json(F.struct(text.alias("v")), {"ignoreNullFields": "false"})
+def as_tool_chats(conversations: DataFrame) -> DataFrame:
+    """Plain chats (conv_id, turn, role, text) as chats with tools, a message a turn.
+
+    A user's turn t becomes an assistant's call "t.0" of ``search``, which waits for
+    that of two turns before; a text of over 200 characters also calls ``look``, "t.1",
+    which waits for "t.0" (it repeats that id where the length is a multiple of 11). A
+    limit is a string where the length is a multiple of 5, and ``how`` is one of three
+    words of which the schema knows two, so some arguments are wrong. An assistant's turn
+    becomes the result of the turn before: of its first call, or where the text's length
+    is a multiple of 3 of its second, which may not exist. Other turns stay.
+    """
+    role, turn, text = F.col("role"), F.col("turn").cast("long"), F.coalesce("text", F.lit(""))
+    n = F.length(text)
+    name = lambda t, part: F.concat(t.cast("string"), F.lit(part))
+
+    def call(id_: Column, tool: str, after: Column, **arguments: Column) -> Column:
+        given = F.struct(*[v.alias(k) for k, v in arguments.items()])
+        return F.to_json(F.struct(id_.alias("id"), F.lit(tool).alias("name"), given.alias("arguments"), after.alias("after")))
+
+    before = F.when(turn >= 2, name(turn - 2, ".0"))
+    right, wrong = (call(name(turn, ".0"), "search", before, query=text, limit=limit) for limit in (n % 7, (n % 7).cast("string")))
+    how = F.element_at(F.array(F.lit("exact"), F.lit("near"), F.lit("loose")), n % 3 + 1)
+    second = call(F.when(n % 11 == 0, name(turn, ".0")).otherwise(name(turn, ".1")), "look", name(turn, ".0"), how=how)
+    calls = F.concat_ws(",", F.when(n % 5 == 0, wrong).otherwise(right), F.when(n > 200, second))
+    result = F.to_json(F.struct(F.when(n % 3 == 0, name(turn - 1, ".1")).otherwise(name(turn - 1, ".0")).alias("tool_call_id"), text.alias("content")))
+    user, assistant = F.coalesce(role == "user", F.lit(False)) & turn.isNotNull(), F.coalesce(role == "assistant", F.lit(False)) & turn.isNotNull()
     return conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         turn.alias("turn"),
-        F.lit(0).alias("part"),
-        F.when(user, "call").when(assistant, "result").otherwise("message").alias("kind"),
-        F.when(user, turn).when(assistant, turn - 1).cast("string").alias("call_id"),
-        F.when(user, tool).otherwise(role).alias("name"),
-        F.lit(None).cast("string").alias("after"),
-        F.when(user, prompt).otherwise(F.substring(plain, F.lit(6), F.length(plain) - 6)).alias("payload"),
+        F.when(user, "assistant").when(assistant, "tool").otherwise(role).alias("role"),
+        F.when(user, F.concat(F.lit('{"tool_calls":['), calls, F.lit("]}"))).when(assistant, result).otherwise(F.col("text")).alias("text"),
     )
 
 
@@ -136,7 +150,7 @@ def link(nodes: DataFrame, schemas: dict[str, dict[str, Any]]) -> DataFrame:
         for f in frames:
             wrong, written = [], []
             for kind, call_id, name, after, payload in zip(f["kind"], f["call_id"], f["name"], f["after"], f["payload"], strict=True):
-                value = json.loads(payload)
+                value = json.loads(payload) if isinstance(payload, str) else None
                 if kind == "call":
                     wrong.append("; ".join(violations(value, schemas.get(name))))
                     body = {"arguments": value, "id": call_id, "name": name, "role": "assistant"} | ({"after": after} if after else {})
@@ -153,5 +167,8 @@ def link(nodes: DataFrame, schemas: dict[str, dict[str, Any]]) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
-#: What ``turns_as_calls`` calls: a prompt, and nothing else.
-REPLY = {"reply": {"properties": {"prompt": {"type": "string"}}, "required": ["prompt"], "additionalProperties": False}}
+#: The tools of ``as_tool_chats``.
+TOOLS = {
+    "search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query", "limit"], "additionalProperties": False},
+    "look": {"properties": {"how": {"type": "string", "enum": ["exact", "near"]}}, "required": ["how"], "additionalProperties": False},
+}

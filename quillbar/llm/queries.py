@@ -32,7 +32,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(chat.turns_as_calls(table(spark, sf_dir, "conversations")), chat.REPLY)
+    return chat.link(chat.parse(chat.as_tool_chats(table(spark, sf_dir, "conversations"))), chat.TOOLS)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

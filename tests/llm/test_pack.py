@@ -159,19 +159,60 @@ def test_chat_chain(spark):
     assert all(r["depth"] == 2 * r["turn"] and r["turn"] == r["order_turn"] for r in out)
 
 
-def test_plain_chats(spark):
+def brute_chats(raw):
+    """(conv_id, turn, part): kind, call_id, linked, order_turn, depth, valid, json."""
+    nodes, calls, answers = {}, {}, defaultdict(int)
+    for r in raw:
+        c, t, text = r["conv_id"], r["turn"], r["text"] or ""
+        n = len(text)
+        if r["role"] == "user":
+            limit = str(n % 7) if n % 5 == 0 else n % 7
+            found = [(f"{t}.0", "search", {"query": text, "limit": limit}, f"{t - 2}.0" if t >= 2 else None)]
+            if n > 200:
+                found.append((f"{t}.0" if n % 11 == 0 else f"{t}.1", "look", {"how": ("exact", "near", "loose")[n % 3]}, f"{t}.0"))
+            for part, (k, name, given, after) in enumerate(found):
+                valid = n % 5 != 0 if name == "search" else n % 3 != 2
+                body = {"arguments": given, "id": k, "name": name, "role": "assistant"} | ({"after": after} if after else {})
+                nodes[c, t, part] = ["call", k, valid, body]
+                calls.setdefault((c, k), (t, part, after))
+        elif r["role"] == "assistant":
+            k = f"{t - 1}.1" if n % 3 == 0 else f"{t - 1}.0"
+            nodes[c, t, 0] = ["result", k, True, {"content": text, "role": "tool", "tool_call_id": k}]
+            answers[c, k] += 1
+        else:
+            nodes[c, t, 0] = ["message", None, True, {"content": r["text"], "role": r["role"]}]
+
+    def waits(c, k):
+        chain, reach = [], 0
+        while (c, k) in calls:
+            t, _, after = calls[c, k]
+            chain.append(k)
+            reach = max(reach, t)
+            k = after
+        return 2 * (len(chain) - 1), reach
+
+    out = {}
+    for (c, t, part), (kind, k, valid, body) in nodes.items():
+        first = calls.get((c, k))
+        named = first is not None and (kind == "result" or first[:2] == (t, part))
+        depth, reach = waits(c, k) if named else (0, t)
+        linked = named and (kind == "result" or answers[c, k] > 0)
+        out[c, t, part] = (kind, k, linked, max(t, reach), depth + (kind == "result" and named), valid, json.dumps(body, sort_keys=True, ensure_ascii=False, separators=(",", ":")))
+    return out
+
+
+def test_chats_of_the_tables(spark):
     out = queries.op5_chat_tool_calls(spark, DATA).collect()
-    raw = {(r["conv_id"], r["turn"]): r for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
-    assert len(out) == len(raw)
-    for r in out:
-        me, body = raw[r["conv_id"], r["turn"]], json.loads(r["json"])
-        text = body["arguments"]["prompt"] if r["kind"] == "call" else body["content"]
-        assert text == me["text"]
-        other = raw.get((r["conv_id"], r["turn"] + (1 if r["kind"] == "call" else -1)))
-        if r["kind"] == "call":
-            assert r["linked"] == (other is not None and other["role"] == "assistant") and r["valid"]
-        elif r["kind"] == "result":
-            assert r["linked"] == (other is not None and other["role"] == "user")
+    raw = sorted(spark.read.parquet(f"{DATA}/conversations.parquet").collect(), key=lambda r: (r["conv_id"], r["turn"]))
+    want = brute_chats(raw)
+    got = {(r["conv_id"], r["turn"], r["part"]): (r["kind"], r["call_id"], r["linked"], r["order_turn"], r["depth"], r["valid"], r["json"]) for r in out}
+    assert got == want and len(out) == len(want) > len(raw)
+    kinds = [(x[0], x[2], x[5]) for x in want.values()]
+    assert {("call", True, True), ("call", False, True), ("call", True, False), ("result", True, True)} <= set(kinds) and max(x[4] for x in want.values()) > 4
+    bare = spark.createDataFrame([(1, 0, 0, "call", "a", "search", None, None), (1, 1, 0, "result", "a", None, None, None)], chat.NODE)
+    assert [r["json"] for r in chat.link(bare, chat.TOOLS).orderBy("turn").collect()] == ['{"arguments":null,"id":"a","name":"search","role":"assistant"}', '{"content":null,"role":"tool","tool_call_id":"a"}']
+    odd = spark.createDataFrame([(None, None, "user", None), (1, None, "assistant", "x"), (1, 0, None, None)], "conv_id long, turn long, role string, text string")
+    assert len(chat.link(chat.parse(chat.as_tool_chats(odd)), chat.TOOLS).collect()) == 3
 
 
 def test_alignment():
