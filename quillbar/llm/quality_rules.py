@@ -94,11 +94,12 @@ def quality_rules(documents: DataFrame, labels: DataFrame, bits: int = 16, trust
     fit = F.pmod(F.xxhash64(F.lit(43), "doc_id"), F.lit(HOLD)) != 0
     sample = cut(trusted_ids(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).withColumn("yes", fit.cast("int")))
     ratios = F.broadcast(log_ratios(documents, sample, bits))  # one row of 2 ** bits floats
-    features = hashes()
-    total = F.aggregate(features, F.lit(0.0), lambda t, h: t + F.get("_ratios", bucket(h, bits)))
-    llr = F.round(F.try_divide(total, F.size(features)), 9)
-    texts = documents.select("doc_id", "text").join(ratios.withColumnRenamed("ratios", "_ratios"), how="cross")
-    rows = cut(base_rules(with_words(texts, "_ratios"), llr.alias("llr")))
+    # the ratios, an array of every bucket, only come to a row in its last projection
+    features = F.transform(hashes(), lambda h: bucket(h, bits)).alias("features")
+    based = base_rules(with_words(documents.select("doc_id", "text")), features).join(ratios, how="cross")
+    total = F.aggregate("features", F.lit(0.0), lambda t, b: t + F.get("ratios", b))
+    llr = F.round(F.try_divide(total, F.size("features")), 9).alias("llr")
+    rows = cut(based.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", llr))
     known = rows.join(F.broadcast(sample), "doc_id").where("llr is not null").groupBy("yes")
     seen = sorted(known.agg(F.percentile("llr", F.lit(0.005)).alias("low"), F.percentile("llr", F.lit(0.5)).alias("mid")).collect())  # two rows at most
     floor = seen[0]["low"] - (seen[0]["mid"] - seen[0]["low"]) / 2 if seen else float("-inf")
