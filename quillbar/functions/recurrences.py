@@ -15,9 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import DATE, SYMBOL
+from .kernels import SYMBOL, by_date
 
 
 @dataclass(frozen=True)
@@ -149,8 +150,11 @@ class _Stop:
 
 
 def scan(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
-    """``df`` with a column per step. One shuffle on the symbol, none if ``df`` is
-    dealt by it already; batches stream through in date order."""
+    """``df`` with a column per step; batches stream through in date order.
+
+    A window's row number goes along, which makes Spark deal the rows by symbol and
+    sort them, unless the plan has done so already; it is dropped on the way.
+    """
     outs = [s.out for s in steps]
     schema = T.StructType([*df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in outs]])
 
@@ -183,6 +187,6 @@ def scan(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
                 else:
                     have[s.out] = state(column(s.high), column(s.low), starts, goes_on)
             added = [pa.array(have[o], from_pandas=True) for o in outs]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *outs])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*batch.schema.names[:-1], *outs])
 
-    return df.sortWithinPartitions(SYMBOL, DATE).mapInArrow(run, schema)
+    return df.withColumn("_place", F.row_number().over(by_date())).mapInArrow(run, schema)

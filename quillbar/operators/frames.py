@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.kernels import DATE, SYMBOL
+from ..sources.bars import stored
 from .indicators import feature_columns, features
 from .labels import binary, label_worst, multiclass
 
@@ -53,12 +54,13 @@ def fit_scaler(train: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` as (x - mean) / std in single precision. The scaler is one row
-    per feature, so it is broadcast as one map."""
-    stats = scaler.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std")))).alias("_stats"))
+    """``columns`` as (x - mean) / std in single precision. The scaler has a row per
+    feature; it is broadcast as one row with two columns a feature."""
+    of = lambda c, what: F.max(F.when(F.col("feature") == c, F.col(what))).alias(f"_{what}_{c}")
+    stats = scaler.agg(*[of(c, what) for c in columns for what in ("mean", "std")])
     joined = df.join(F.broadcast(stats), how="cross")
-    s = F.col("_stats")
-    return joined.withColumns({c: ((F.col(c).cast("float") - s[c]["mean"]) / s[c]["std"]).cast("float") for c in columns}).drop("_stats")
+    scaled = {c: ((F.col(c).cast("float") - F.col(f"_mean_{c}")) / F.col(f"_std_{c}")).cast("float").alias(c) for c in columns}
+    return joined.select(*[scaled.get(c, F.col(c)) for c in df.columns])
 
 
 def sliding_windows(df: DataFrame, columns: list[str], window: int = 120, by: tuple[str, ...] = (SYMBOL, "split")) -> DataFrame:
@@ -74,10 +76,11 @@ def sliding_windows(df: DataFrame, columns: list[str], window: int = 120, by: tu
 
 
 def samples(bars: DataFrame, splits: dict[str, tuple[str, str]] = SPLITS, config: Samples | None = None) -> DataFrame:
-    """Bars to samples: cleaned, labelled, split, scaled by the training rows."""
+    """Bars to samples: cleaned, labelled, split, scaled by the training rows. The
+    frame is written once, for the scaler's fit and its application."""
     config = config or Samples()
     columns = feature_columns()
-    frame = model_frame(bars, splits, config.label_mode)
+    frame = stored(model_frame(bars, splits, config.label_mode))
     scaler = fit_scaler(frame.where("split = 'train'"), columns)
     return sliding_windows(apply_scaler(frame, scaler, columns), columns, config.window)
 
@@ -90,5 +93,23 @@ def class_weights(df: DataFrame, classes: int, label: str = "label") -> DataFram
     spark = df.sparkSession
     every = spark.range(classes).select(F.col("id").cast("int").alias("y"))
     counted = every.join(seen, "y", "left").select("y", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("n"))
-    total = counted.agg(F.sum("n").alias("total"))
-    return counted.join(F.broadcast(total), how="cross").select("y", "n", (F.col("total") / (classes * F.col("n"))).alias("weight"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # a row per class
+    return counted.select("y", "n", (total / (classes * F.col("n"))).alias("weight"))
+
+
+def batches(samples: DataFrame, size: int, keys: tuple[str, ...] = ("end_dt", SYMBOL), seed: int | None = None) -> DataFrame:
+    """``samples`` with ``batch``: numbers of batches of ``size`` rows in the order of
+    ``keys`` (unique together), or shuffled by ``seed``; the last batch may be smaller.
+
+    Rows are numbered within range partitions, whose sizes (a row per partition) give
+    the offsets; no task sees more than its partition.
+    """
+    order = [F.xxhash64(F.lit(seed), *keys), *keys] if seed is not None else list(keys)
+    placed = samples.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(placed.select("*", F.monotonically_increasing_id().alias("_at")))
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row per partition
+    return numbered.select(*samples.columns, F.floor((at + F.col("_before")) / size).cast("long").alias("batch"))

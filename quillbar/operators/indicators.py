@@ -206,7 +206,7 @@ def indicators(bars: DataFrame, which: Iterable[str] = RAW, params: Params | Non
     df = bars
     steps = [s for f in chosen for s in f.steps]
     if steps:
-        df = scan(_layers(df.repartition(SYMBOL), [f.before for f in chosen]), steps)
+        df = scan(_layers(df, [f.before for f in chosen]), steps)
     return _layers(df, [f.after for f in chosen]).select(*bars.columns, *columns_of(which, params))
 
 

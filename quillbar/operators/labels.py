@@ -44,6 +44,12 @@ def touched(bars: Column, price: Column, atr: Column, rule: Barrier) -> Column:
     return F.when(price.isNotNull() & atr.isNotNull(), found)
 
 
+def evaluate_trade(df: DataFrame, price: Column, atr: Column, rule: Barrier, out: str) -> DataFrame:
+    """The outcome of entering at ``price`` on every row: its own bar is the first of
+    the path and the horizon counts from its date. Null only without price or range."""
+    return df.withColumn("_path", path(rule.days)).withColumn(out, touched(F.col("_path"), price, atr, rule)).drop("_path")
+
+
 def label_open(df: DataFrame, rule: Barrier, out: str) -> DataFrame:
     """Entry at the open, its own bar included. Null if no later bar lies within
     the horizon. Needs ``atr``."""

@@ -36,6 +36,19 @@ def macro_f1(predictions: DataFrame, classes: int, by: tuple[str, ...] = ()) ->
     return per_class(predictions, classes, by).groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
 
 
+def scores(predictions: DataFrame, classes: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, accuracy, macro_f1) from one pass over the predictions."""
+    y, pred, n = F.col("y").cast("long"), F.col("pred").cast("long"), F.lit(1).cast("long")
+    count = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    kinds = {"tp": lambda k: (y == k) & (pred == k), "fp": lambda k: (y != k) & (pred == k), "fn": lambda k: (y == k) & (pred != k)}
+    found = predictions.groupBy(*by).agg(count(y == pred).alias("hits"), F.count("*").alias("all"), *[count(f(k)).alias(f"{name}{k}") for name, f in kinds.items() for k in range(classes)])
+    total = F.lit(0.0)
+    for k in range(classes):
+        p, r = F.col(f"tp{k}") / (F.col(f"tp{k}") + F.col(f"fp{k}") + EPS), F.col(f"tp{k}") / (F.col(f"tp{k}") + F.col(f"fn{k}") + EPS)
+        total = total + 2 * p * r / (p + r + EPS)
+    return found.select(*by, F.try_divide(F.col("hits").cast("double"), F.col("all").cast("double")).alias("accuracy"), (total / classes).alias("macro_f1"))
+
+
 def bincount(df: DataFrame, column: str, classes: int) -> DataFrame:
     every = df.sparkSession.range(classes).select(F.col("id").cast("int").alias("y"))
     seen = df.groupBy(F.col(column).cast("int").alias("y")).agg(F.count("*").alias("n"))

@@ -12,11 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import class_weights
-from .metrics import accuracy, macro_f1
+from .frames import SPLITS, Samples, apply_scaler, class_weights, feature_columns, model_frame, sliding_windows
+from .metrics import scores
 
 
 def flat(samples: DataFrame) -> DataFrame:
@@ -49,6 +49,48 @@ def score(samples: DataFrame, classify: Callable[[np.ndarray], np.ndarray]) -> D
 
 
 def evaluate(model: LogisticRegressionModel, samples: DataFrame, classes: int) -> DataFrame:
-    """split, accuracy, macro_f1; both come from one count of (y, pred)."""
-    found = predict(model, samples)
-    return accuracy(found, ("split",)).join(macro_f1(found, classes, ("split",)), "split")
+    """split, accuracy, macro_f1 from one pass over the samples."""
+    return scores(predict(model, samples), classes, ("split",))
+
+
+def select(samples: DataFrame, classes: int, penalties: tuple[float, ...] = (0.1, 1.0), rounds: int = 20) -> tuple[LogisticRegressionModel, float]:
+    """The model whose macro-F1 on the split ``val`` is best (of equal ones the first),
+    and that figure. Models are trained on the split ``train``."""
+    best, top = None, -1.0
+    held = samples.where("split = 'val'")
+    for penalty in penalties:
+        model = train(samples.where("split = 'train'"), classes, rounds, penalty)
+        found = evaluate(model, held, classes).first()
+        value = 0.0 if found is None else found["macro_f1"]
+        if value > top:
+            best, top = model, value
+    return best, top
+
+
+def parameters(model: LogisticRegressionModel) -> int:
+    """How many numbers were trained."""
+    rows, columns = model.coefficientMatrix.numRows, model.coefficientMatrix.numCols
+    return rows * columns + len(model.interceptVector)
+
+
+def save(model: LogisticRegressionModel, scaler: DataFrame, folder: str, config: Samples | None = None) -> None:
+    """A checkpoint: the model, the scaler it was trained with and the samples' shape."""
+    config = config or Samples()
+    model.write().overwrite().save(f"{folder}/model")
+    scaler.write.mode("overwrite").parquet(f"{folder}/scaler")
+    shape = scaler.sparkSession.range(1).select(F.lit(config.window).alias("window"), F.lit(config.label_mode).alias("label_mode"))
+    shape.write.mode("overwrite").parquet(f"{folder}/config")
+
+
+def load(spark: SparkSession, folder: str) -> tuple[LogisticRegressionModel, DataFrame, Samples]:
+    shape = spark.read.parquet(f"{folder}/config").first()
+    scaler = spark.read.parquet(f"{folder}/scaler")
+    return LogisticRegressionModel.load(f"{folder}/model"), scaler, Samples(shape["window"], shape["label_mode"])
+
+
+def evaluate_saved(bars: DataFrame, folder: str, splits: dict[str, tuple[str, str]] = SPLITS) -> DataFrame:
+    """Bars scored by a checkpoint: its scaler is applied, none is fitted."""
+    model, scaler, config = load(bars.sparkSession, folder)
+    columns = feature_columns()
+    frame = apply_scaler(model_frame(bars, splits, config.label_mode), scaler, columns)
+    return evaluate(model, sliding_windows(frame, columns, config.window), 2 if config.label_mode == "binary" else 3)

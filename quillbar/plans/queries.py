@@ -6,11 +6,12 @@ Doubles are rounded to 6 digits on both sides: engines add up in other orders.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import SYMBOL
+from ..functions.kernels import SYMBOL, finite
 from ..operators import charts, frames, indicators, labels, metrics, models, signals
 from ..sources import bars as B
 from ..streaming import bars as streamed
@@ -318,7 +319,7 @@ add("scaler_fit", scaler_fit, sql.chain("select feature, round(mean, 4) + 0.0 as
 
 
 def scaler_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = model_frame(spark, sf_dir)
+    frame = B.stored(model_frame(spark, sf_dir))
     scaled = frames.apply_scaler(frame, frames.fit_scaler(frame.where("split = 'train'"), MODEL), MODEL)
     return tidy(scaled.select(SYMBOL, "dt", "split", *[F.col(c).cast("double").alias(c) for c in MODEL]), 3)
 
@@ -428,10 +429,162 @@ add(
 
 
 def classifier_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy and macro-F1 of a trained classifier on val and test (rows only:
-    training has no SQL twin)."""
-    made = B.stored(frames.samples(B.walk_bars(spark, sf_dir), SPLITS, frames.Samples(window=20)))
-    return tidy(models.evaluate(models.train(made.where("split = 'train'"), classes=2), made.where("split <> 'train'"), 2))
+    """Accuracy and macro-F1 on val and test of a classifier that was chosen on val,
+    saved and loaded again (rows only: training has no SQL twin)."""
+    bars = B.stored(B.walk_bars(spark, sf_dir))
+    columns = frames.feature_columns()
+    frame = B.stored(frames.model_frame(bars, SPLITS))
+    scaler = B.stored(frames.fit_scaler(frame.where("split = 'train'"), columns))
+    made = B.stored(frames.sliding_windows(frames.apply_scaler(frame, scaler, columns), columns))
+    model, _ = models.select(made, 2)
+    folder = B.work_folder(spark, "models")
+    models.save(model, scaler, folder)
+    return tidy(models.evaluate_saved(bars, folder, SPLITS).where("split <> 'train'"))
 
 
 add("classifier_eval", classifier_eval)
+
+
+def split_counts_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = frames.model_frame(B.walk_bars(spark, sf_dir), SPLITS, "multiclass")
+    return frame.where("split is not null").groupBy(SYMBOL, "split", "label").agg(F.count("*").alias("n"))
+
+
+FRAME3 = [(name, text.replace("case when w.label = 1 then 1 else 0 end as y", "cast(w.label + 1 as integer) as y")) for name, text in FRAME]
+add("split_counts_multiclass", split_counts_multiclass, sql.chain("select symbol, split, y as label, count(*) as n from frame where split is not null group by all", True, FRAME3), ())
+
+
+def class_weights_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(frames.class_weights(frames.model_frame(B.walk_bars(spark, sf_dir), SPLITS, "multiclass").where("split = 'train'"), 3))
+
+
+add(
+    "class_weights_multiclass",
+    class_weights_multiclass,
+    sql.chain(
+        """select y, n, round(sum(n) over () / (3 * n), 6) as weight from
+        (select c.y, greatest(count(f.symbol), 1) as n from (values (0), (1), (2)) as c(y) left join frame f on f.y = c.y and f.split = 'train' group by c.y)""",
+        True,
+        FRAME3,
+    ),
+    (),
+)
+
+
+def trade_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries at every close, by the long rule."""
+    return labels.evaluate_trade(with_atr(spark, sf_dir), F.col("close"), F.col("atr"), labels.LONG, "outcome").select(SYMBOL, "dt", "outcome")
+
+
+_HIT = "p.low <= e.close - 2.0 * e.atr or p.high >= e.close + 3.0 * e.atr"
+add(
+    "trade_outcome",
+    trade_outcome,
+    sql.chain(
+        f"""select e.symbol, e.dt, case when any_value(e.close) is null or any_value(e.atr) is null then null when min(case when {_HIT} then p.dt end) is null then 0.0::double
+        when arg_min(p.low, p.dt) filter (where {_HIT}) <= any_value(e.close) - 2.0 * any_value(e.atr) then -1.0::double else 1.0::double end as outcome
+        from t2 e join t2 p on p.symbol = e.symbol and p.dt between e.dt and e.dt + 15 group by e.symbol, e.dt"""
+    ),
+)
+
+
+def per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(metrics.per_class(predictions(spark, sf_dir), 3))
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(metrics.scores(predictions(spark, sf_dir), 3))
+
+
+_TPFPFN = """select c.k, count(*) filter (where y = k and pred = k) as tp, count(*) filter (where y <> k and pred = k) as fp, count(*) filter (where y = k and pred <> k) as fn
+     from scored, (values (0), (1), (2)) as c(k) group by c.k"""
+_F1 = "2 * (tp / (tp + fp + 1e-9)) * (tp / (tp + fn + 1e-9)) / (tp / (tp + fp + 1e-9) + tp / (tp + fn + 1e-9) + 1e-9)"
+add("per_class", per_class, sql.chain(f'select cast(k as bigint) as "class", tp, fp, fn, round({_F1}, 6) + 0.0 as f1 from ({_TPFPFN})', more=PREDICTIONS), ())
+add(
+    "scores",
+    scores,
+    sql.chain(f"select (select round(avg(case when y = pred then 1.0::double else 0.0::double end), 6) from scored) as accuracy, round(avg({_F1}), 6) as macro_f1 from ({_TPFPFN})", more=PREDICTIONS),
+    (),
+)
+
+
+def tail_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows up to the last day that all labels reach, which the check accepts."""
+    made = labels.trade_labels(with_atr(spark, sf_dir)).select(SYMBOL, "dt", "long_label", "short_label")
+    last = made.na.drop(subset=["long_label", "short_label"]).agg(F.max("dt")).first()[0]
+    return labels.check_tail(made, last)
+
+
+add(
+    "tail_check",
+    tail_check,
+    sql.chain(
+        f"""select l.symbol, l.dt, l.label as long_label, s.label as short_label from ({LONG_SQL}) l join ({SHORT_SQL}) s on s.symbol = l.symbol and s.dt = l.dt
+        where l.dt <= (select max(a.dt) from ({LONG_SQL}) a join ({SHORT_SQL}) b on a.symbol = b.symbol and a.dt = b.dt where a.label is not null and b.label is not null)"""
+    ),
+)
+
+
+def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of misses per symbol and year as a batch's loss, weighed by rows."""
+    rows = labels.label_worst(with_atr(spark, sf_dir)).where("label is not null")
+    miss = F.when(F.signum(F.col("close") - F.col("open")) == F.col("label"), 0.0).otherwise(1.0)
+    return tidy(metrics.weighted_loss(rows.groupBy(SYMBOL, F.year("dt")).agg(F.avg(miss).alias("loss"), F.count("*").alias("n"))))
+
+
+add(
+    "weighted_loss",
+    weighted_loss,
+    sql.chain("select round(avg(case when sign(b.close - b.open) = w.label then 0.0::double else 1.0::double end), 6) as loss from worst w join bars b on b.symbol = w.symbol and b.dt = w.dt where w.label is not null", more=WORST),
+    (),
+)
+
+
+def sample_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and ends of batches of 64 bars in order of date."""
+    made = frames.batches(B.walk_bars(spark, sf_dir).select(SYMBOL, "dt"), 64, ("dt", SYMBOL))
+    return made.groupBy("batch").agg(F.count("*").alias("n"), F.min("dt").alias("start_dt"), F.max("dt").alias("end_dt"))
+
+
+add(
+    "sample_batches",
+    sample_batches,
+    sql.chain("select batch, count(*) as n, min(dt) as start_dt, max(dt) as end_dt from (select dt, cast(floor((row_number() over (order by dt, symbol) - 1) / 64) as bigint) as batch from bars) group by batch"),
+    ("start_dt", "end_dt"),
+)
+
+
+def finite_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns over the change of the day before: infinite or NaN where that is 0."""
+    raw = indicators.indicators(B.walk_bars(spark, sf_dir), ("ret",)).withColumn("change", F.col("close") - F.col("open"))
+    ratio = F.when(F.col("change") == 0, F.when(F.col("ret") > 0, float("inf")).otherwise(float("nan"))).otherwise(F.col("ret") / F.col("change"))
+    return tidy(finite(raw.withColumn("ratio", ratio), "ratio").na.drop(subset=["ret"]).select(SYMBOL, "dt", "ratio"))
+
+
+add("finite_bars", finite_bars, sql.chain("select symbol, dt, round(ret / nullif(close - open, 0), 6) + 0.0 as ratio from t1 where ret is not null"))
+
+
+def instruments_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed ranges of symbols whose coverage passes the check, looked up in lower case."""
+    listed = B.stored(B.coverage(B.walk_bars(spark, sf_dir)))
+    start, end = listed.agg(F.max("start"), F.min("end")).first()
+    for symbol in ("a", " n ", "R"):
+        B.check_coverage(listed, symbol, start, end)
+    return listed.where(F.col("start") <= F.lit(start)).where(F.col("end") >= F.lit(end))
+
+
+add("instruments_checked", instruments_checked, sql.chain('select symbol, min(dt) as "start", max(dt) as "end" from bars group by symbol'), ("start", "end"))
+
+
+def built_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars through CSV files into a store, and what is read back of one sector."""
+    folder = B.work_folder(spark, "stores")
+    B.walk_bars(spark, sf_dir).write.csv(f"{folder}/csv", header=True)
+    config = B.BuildConfig(date(1995, 1, 1), date(1997, 12, 31), f"{folder}/store", sectors={"tech": ("a", "X"), "other": ("N",)})
+    B.build(spark, config, B.read_csv(spark, f"{folder}/csv", index="dt"))
+    B.build(spark, config, B.read_csv(spark, f"{folder}/csv", index="dt"))  # adds nothing
+    bars, listed = B.open_store(spark, f"{folder}/store")
+    return tidy(bars.join(F.broadcast(listed), SYMBOL).select(SYMBOL, "dt", *BAR))
+
+
+add("built_store", built_store, sql.chain(f"select symbol, dt, {_columns(BAR)} from bars where symbol in ('A', 'N') and dt between date '1995-01-01' and date '1997-12-31'"))

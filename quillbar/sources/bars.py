@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,11 +34,17 @@ class BuildConfig:
     end: date
     data_root: str
     force_refresh: bool = False
+    sectors: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(SECTORS))
 
     def __post_init__(self) -> None:
         if self.end < self.start:
             raise ValueError(f"end {self.end} lies before start {self.start}")
 
+    @property
+    def symbols(self) -> list[str]:
+        """Sorted, distinct, in upper case."""
+        return sorted({s.strip().upper() for members in self.sectors.values() for s in members})
+
     @property
     def mode(self) -> str:
         return "overwrite" if self.force_refresh else "append"
@@ -188,6 +195,41 @@ def write_sectors(members: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("sector").csv(path, sep="\t")
 
 
+def build(spark: SparkSession, config: BuildConfig, bars: DataFrame) -> DataFrame:
+    """A store under ``data_root`` from ``bars`` of any source: the universe's bars in
+    the range (``bars``), their coverage (``instruments``) and sector lists
+    (``sectors``). A refresh replaces what is there, else only days that a symbol does
+    not have yet are added. Returns the instruments."""
+    listed = spark.createDataFrame([(s,) for s in config.symbols], "symbol string")
+    wanted = bars.withColumn(SYMBOL, F.upper(F.trim(SYMBOL))).where(F.col(DATE).between(F.lit(config.start), F.lit(config.end)))
+    wanted = in_universe(wanted, listed).select(SYMBOL, DATE, "open", "high", "low", "close", "volume")
+    folder = f"{config.data_root.rstrip('/')}/bars"
+    if not config.force_refresh and exists(spark, folder):
+        wanted = wanted.join(read_bars(spark, folder).select(SYMBOL, DATE), [SYMBOL, DATE], "left_anti")
+    write_bars(wanted, folder, config.mode)
+    instruments = stored(coverage(read_bars(spark, folder)))
+    instruments.write.mode("overwrite").csv(f"{config.data_root.rstrip('/')}/instruments", sep="\t")
+    write_sectors(sector_members(instruments, sector_table(spark, config.sectors)), f"{config.data_root.rstrip('/')}/sectors")
+    return instruments
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema(BAR).parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
+def open_store(spark: SparkSession, data_root: str) -> tuple[DataFrame, DataFrame]:
+    """Bars and instruments of a built store; an error that names the builder if there
+    is none."""
+    root = data_root.rstrip("/")
+    if not exists(spark, f"{root}/bars"):
+        raise FileNotFoundError(f"no bars under {root}; build them with: python -m quillbar.build --data-root {root} --source CSV")
+    return read_bars(spark, f"{root}/bars"), read_instruments(spark, f"{root}/instruments")
+
+
 def work_folder(spark: SparkSession, kind: str) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir,
     or where that is unset under the warehouse."""

@@ -221,3 +221,38 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         B.read_csv(spark, f"{tmp_path}/x.csv", index="nope")
     assert sum(map(len, B.SECTORS.values())) == 40
+
+
+def test_build_from_the_command_line(spark, tmp_path):
+    from quillbar import build
+
+    rows = bars(spark, walk(8), symbol="NVDA").unionByName(bars(spark, walk(5), symbol="nope"))
+    rows.write.csv(f"{tmp_path}/csv", header=True)
+    with pytest.raises(FileNotFoundError, match="quillbar.build"):
+        B.open_store(spark, f"{tmp_path}/store")
+    for extra in ([], ["--force-refresh"]):
+        build.main(["--source", f"{tmp_path}/csv", "--data-root", f"{tmp_path}/store", "--start", "2020-01-07", *extra], spark)
+        made, listed = B.open_store(spark, f"{tmp_path}/store")
+        assert made.count() == 7 and [r["symbol"] for r in listed.collect()] == ["NVDA"]
+    with pytest.raises(ValueError):
+        B.BuildConfig(date(2020, 1, 2), date(2020, 1, 1), "x")
+
+
+def test_scan_deals_by_itself(spark):
+    df = bars(spark, walk(50)).unionByName(bars(spark, walk(50, 1), symbol="Y"))
+    steps = [Ewm("y", "close", 1 / 3)]
+    assert column(scan(df.repartition(5, "dt"), steps), "y") == column(scan(df.repartition("symbol"), steps), "y")
+
+
+def test_batches(spark):
+    made = frames.batches(bars(spark, walk(50)), 8, ("dt", "symbol"), seed=1).collect()
+    sizes = pd.Series([r["batch"] for r in made]).value_counts()
+    assert sorted(sizes.index) == list(range(7)) and sorted(sizes) == [2, 8, 8, 8, 8, 8, 8]
+    assert [r["batch"] for r in sorted(made, key=lambda r: r["dt"])] != sorted(r["batch"] for r in made)
+
+
+def test_trained_numbers(spark):
+    rows = [("X", "train", None, i % 2, [[float(i % 2), 1.0], [0.0, float(i)]]) for i in range(12)] + [("X", "val", None, 1, [[1.0, 1.0], [0.0, 3.0]])]
+    made = spark.createDataFrame(rows, "symbol string, split string, end_dt date, y long, features array<array<float>>")
+    model, top = models.select(made, 2, rounds=5)
+    assert models.parameters(model) == 2 * 4 + 2 and round(top, 6) == 0.5
