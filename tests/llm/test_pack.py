@@ -313,8 +313,10 @@ def test_pipeline_stages_on_odd_rows(spark):
             stage(spark, odd, DATA).collect()
     kept = P.near_dedup(spark, odd_documents(spark), DATA).collect()
     ids = [r["doc_id"] for r in kept]
-    # of the wordless rows the smallest id stays; 9006 twice, for its texts differ
-    assert sorted(x for x in ids if x is not None) == [9001, 9004, 9005, 9006, 9006, 9007, 9009, 9010, 9011] and None not in ids
+    # of the wordless rows the smallest id stays; a text said twice is a near copy (22 of
+    # its 26 shingles), the other text under its id is not
+    assert sorted(x for x in ids if x is not None) == [9001, 9004, 9005, 9006, 9007, 9009, 9010, 9011] and None not in ids
+    assert [r["text"] for r in kept if r["doc_id"] == 9006] == ["another text under the same id"]
 
 
 def test_pipeline_loses_no_different_texts(spark):
