@@ -2,11 +2,12 @@
 
 A source's documents, in a seeded hash order, are one run of words cut into
 blocks of ``block`` words. Seats (blocks) go to sources by highest quotients
-target / (2 s + 1). All seats whose quotient reaches block / 2 are given, so a
-source gets floor(target / block + 1/2) seats and the house is their sum: that is
-the highest-quotient apportionment of that house (any divisor that gives a house
-gives its apportionment). Shard j of S takes the next stretch of the same award
-list: the seats with quotients between block * S / (2 (j+1)) and block * S / (2 j).
+target / (2 s + 1). The house is set beforehand, round(sum of targets / block), and
+:func:`divisor` finds the divisor d that fills it: a source gets
+floor(target / d + 1/2) seats, that is all seats whose quotient reaches d / 2, which
+are the house's highest quotients of all sources. (Equal quotients at the last seat
+all get one.) Shard j of S takes the next stretch of the same award
+list: the seats with quotients between d * S / (2 (j+1)) and d * S / (2 j).
 So every prefix of shards is an exact apportionment and quotas are whole numbers
 per shard, by arithmetic, without a row per seat.
 
@@ -26,6 +27,9 @@ from pyspark.sql.window import Window
 
 from .common import WORD, cut, maybe_broadcast, running_offsets
 
+#: Divisors tried at once, and how often at most, until one fills the house.
+TRIES, ROUNDS = 32, 10
+
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """source, source_size, target: ``share`` of all sizes dealt by weight, no
@@ -50,19 +54,44 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     return per.select("source", "source_size", F.least("ceiling", F.coalesce(F.col("level") * F.col("weight"), F.col("ceiling"))).alias("target"))
 
 
+def divisor(plan: DataFrame) -> float:
+    """The divisor whose quotients fill a house of round(sum of targets / block).
+
+    Seats fall as the divisor grows, and lie within half a seat a source of
+    sum / divisor, which brackets it. Each round counts the seats of ``TRIES``
+    divisors in one aggregate over sources; whole numbers, so reruns agree.
+    """
+    total, sources, block = plan.agg(F.sum(F.round("target").cast("long")), F.count_if(F.col("target") > 0), F.max("block")).first()
+    if not total:
+        return float(block or 1)
+    house = max(1, (2 * total + block) // (2 * block))
+    low, high = total / (house + sources / 2 + 1), total / max(house - sources / 2 - 1, 0.25)
+    for _ in range(ROUNDS):
+        tries = [low * (high / low) ** (k / (TRIES + 1)) for k in range(1, TRIES + 1)]
+        each = plan.select("target", F.posexplode(F.array(*[F.lit(d) for d in tries])).alias("k", "d"))
+        seats_of = dict(each.groupBy("k").agg(F.sum(F.floor(F.col("target") / F.col("d") + 0.5)).alias("n")).collect())
+        for k, d in enumerate(tries):
+            if seats_of[k] == house:
+                return d
+        low = max([low, *[d for k, d in enumerate(tries) if seats_of[k] > house]])
+        high = min([high, *[d for k, d in enumerate(tries) if seats_of[k] < house]])
+    return low  # equal quotients at the last seat
+
+
 def seats(plan: DataFrame, block: int = 64) -> DataFrame:
-    """Adds block, blocks (of the source) and quota (seats of the whole mix)."""
+    """Adds block, blocks (of the source), divisor and quota (seats of the whole mix)."""
     every = Window.partitionBy(F.lit(0))
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
-    plan = plan.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.coalesce(least, F.lit(1.0)) / 64))).cast("long"))
-    return plan.withColumns({"blocks": F.ceil(F.col("source_size") / F.col("block")).cast("long"), "quota": F.floor(F.col("target") / F.col("block") + 0.5).cast("long")})
+    plan = cut(plan.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.coalesce(least, F.lit(1.0)) / 64))).cast("long")))
+    d = divisor(plan)
+    return plan.withColumns({"divisor": F.lit(d), "blocks": F.ceil(F.col("source_size") / F.col("block")).cast("long"), "quota": F.floor(F.col("target") / d + 0.5).cast("long")})
 
 
 def shard_quotas(plan: DataFrame, shards: int) -> DataFrame:
     """(source, shard, seats): whole-number quotas; every prefix of shards is an
     apportionment of its seats by highest quotients."""
     j = plan.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    upto = lambda k: F.floor(F.col("target") * k / (F.col("block") * F.lit(shards)) + 0.5)
+    upto = lambda k: F.floor(F.col("target") * k / (F.col("divisor") * F.lit(shards)) + 0.5)
     return j.select("source", "shard", (upto(F.col("shard") + 1) - upto(F.col("shard"))).cast("long").alias("seats"))
 
 
@@ -73,7 +102,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     (shard, pass, start, words): the stretches of the document each shard takes."""
     text_id = F.xxhash64(F.lit(seed), "doc_id", "text")
     sizes = cut(documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), text_id.alias("order"), F.xxhash64("text").alias("id")))
-    plan = cut(seats(targets(sizes, weights, share, cap), block))
+    plan = seats(targets(sizes, weights, share, cap), block)
     plan = maybe_broadcast(plan.withColumnRenamed("source", "_source"))
     placed = running_offsets(sizes, ["source"], F.col("order"), "size", "offset")
     placed = placed.join(plan, F.col("source").eqNullSafe(F.col("_source")))
@@ -82,9 +111,9 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     placed = placed.withColumn("ends", F.expr(f"transform(sequence(0, {int(-(-cap // 1)) - 1}), p -> named_struct('p', p, 'end', least(offset + size, {limit})))"))
     placed = placed.withColumn("ends", F.expr("filter(ends, e -> e.end > offset)"))
     taken = F.expr("aggregate(ends, 0L, (t, e) -> t + e.end - offset)")
-    shard_of = "cast(least({shards} - 1, greatest(0, ceil((e.p * blocks + floor({x} / block) + 0.5) * block * {shards} / target) - 1)) as int)"
+    shard_of = "cast(least({shards} - 1, greatest(0, ceil((e.p * blocks + floor({x} / block) + 0.5) * divisor * {shards} / target) - 1)) as int)"
     first, last = (shard_of.format(x=x, **s) for x in ("offset", "(e.end - 1)"))
-    edge = "(cast(floor(target * {k} / (block * {shards}) + 0.5) as bigint) - e.p * blocks) * block"
+    edge = "(cast(floor(target * {k} / (divisor * {shards}) + 0.5) as bigint) - e.p * blocks) * block"
     lo, hi = (edge.format(k=k, **s) for k in ("j", "(j + 1)"))
     spans = F.expr(
         f"filter(flatten(transform(ends, e -> transform(sequence(greatest(0, {first} - 1), least({shards} - 1, {last} + 1)), j -> named_struct('shard', j, 'pass', e.p,"

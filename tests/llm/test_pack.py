@@ -53,6 +53,22 @@ def test_mix(spark, table):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+@pytest.mark.parametrize("count", [1, 7, 300])
+def test_house_is_filled(spark, count):
+    """Quotas are the house's highest quotients, equal ones at its end apart."""
+    rows = [(f"s{i:03}", 1 + (i * 7919) % 5000, float(1 + (i * 7919) % 5000) * (1 + i % 2)) for i in range(count)]
+    plan = mixing.seats(spark.createDataFrame(rows, "source string, source_size long, target double"), 16).collect()
+    house = round(sum(r["target"] for r in plan) / plan[0]["block"])
+    quotients = sorted(((r["target"] / (2 * s + 1), r["source"]) for r in plan for s in range(r["quota"] + 2)), reverse=True)
+    won = defaultdict(int)
+    for q, s in quotients[:house]:
+        won[s] += 1
+    last = quotients[house - 1][0]
+    tied = sum(abs(q - last) < 1e-9 * last for q, _ in quotients)
+    assert sum(r["quota"] for r in plan) - house in range(tied)
+    assert sum(abs(won[r["source"]] - r["quota"]) for r in plan) < tied
+
+
 def test_mix_by_shard(spark):
     """Every prefix of shards is the highest-quotient apportionment of its seats."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -71,6 +87,8 @@ def test_mix_by_shard(spark):
             won[s] += 1
         assert sum(abs(won[s] - given[s]) for s in won) <= 2  # ties
         have = given
+    block = plan.first()["block"]
+    assert sum(have.values()) == round(sum(target.values()) / block)
     assert mixing.mix(docs.where("false")).count() == 0
 
 
