@@ -1,4 +1,4 @@
-"""Queries over whole tables, one per corpus operator, and their SQL."""
+"""Queries over whole tables, one per corpus operator; their SQL is in ``sql``."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, kneser_ney, line_dedup, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup
+from .sql import ORACLE_SQL as ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +74,3 @@ QUERIES = {
         op10_quality_classifier,
     )
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from quillbar.llm import line_dedup, near_copies, repeats, simhash, substring_dedup, suffix_dedup
 from quillbar.llm.common import components
-from tests.helpers import DATA
+from quillbar.llm.queries import ORACLE_SQL, QUERIES
+from tests.helpers import DATA, agree, twin
 from tests.llm.rows import ODD, documents, odd_documents
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -103,6 +104,11 @@ def test_repeats_on_tables(spark):
     assert got == brute_bytes(rows, 100)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql_twin(spark, name):
+    agree(QUERIES[name](spark, DATA), *twin(DATA, ORACLE_SQL[name]))
+
+
 def test_repeats_edges(spark):
     docs = odd_documents(spark)
     words = substring_dedup.substring_dedup(docs).collect()
