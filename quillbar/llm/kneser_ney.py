@@ -10,11 +10,10 @@ memory is bounded whatever the model's size; sums of shards add up exactly.
 
 A document's score is nats per byte, drawn towards its language's mean as if it
 had ``prior`` bytes more (short texts say little). It is kept while the score lies
-between bounds taken from its language's trusted documents: the 99 % quantile of
-those held out and the 1 % quantile of those trained on, each moved out by twice
-its distance from the median (a document the model has seen scores lower than one
-it has not; neither kind may fall outside). Quantiles come from
-counts of scores in steps of 0.001, so they are exact to that and reruns agree.
+between two quantiles of its language's trusted documents: ``1 - tail`` of those held
+out and ``tail`` of those trained on (a document the model has seen scores lower than
+one it has not; neither kind may fall outside). Quantiles are of scores in steps of
+0.001, counted before they are shuffled, so they are exact to that and reruns agree.
 
 Null or empty text: no bytes, score is the language's mean, kept. Null language: a
 language of its own. A language without trusted documents: the bounds of all
@@ -29,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut, maybe_broadcast, stored, trusted_ids
 from .repeats import groups, texts
@@ -39,8 +37,6 @@ SHARD = 2_000_000
 STEP = 0.001
 #: One in so many trusted documents is held out.
 HOLD = 4
-#: Thresholds lie so many distances between median and quantile from the median.
-REACH = 3
 
 
 def held_out() -> Column:
@@ -177,18 +173,14 @@ def perplexities(documents: DataFrame, labels: DataFrame, order: int = 5) -> Dat
     return whole.groupBy("doc_id", "id").agg((F.sum("nats") * len(parts) / F.count("*")).alias("nats"), F.first("bytes").alias("bytes"))
 
 
-def bounds(scores: DataFrame, by: list[str]) -> DataFrame:
-    """low and high per group, from counts of scores in steps."""
-    bins = scores.groupBy(*by, F.floor(F.col("score") / STEP).alias("bin")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*(by or [F.lit(0)]))  # rows here are bins, as many as the scores' range has steps
-    bins = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) * STEP
-    found = bins.groupBy(*by).agg(at(0.01).alias("a"), at(0.5).alias("m"), at(0.99).alias("b"))
-    away = lambda q: F.col("m") + REACH * (F.col(q) - F.col("m"))
-    return found.select(*by, away("a").alias("low"), (away("b") + STEP).alias("high"))
+def bounds(scores: DataFrame, by: list[str], tail: float) -> DataFrame:
+    """low and high per group: the quantiles ``tail`` and ``1 - tail``."""
+    step = F.floor(F.col("score") / STEP)
+    at = lambda q: F.percentile(step, F.lit(q))
+    return scores.groupBy(*by).agg((at(tail) * STEP).alias("low"), ((at(1 - tail) + 1) * STEP).alias("high"))
 
 
-def quality_classifier(documents: DataFrame, labels: DataFrame, order: int = 5, prior: int = 100) -> DataFrame:
+def quality_classifier(documents: DataFrame, labels: DataFrame, order: int = 5, prior: int = 100, tail: float = 0.005) -> DataFrame:
     """One row per document: doc_id, id, lang, n_bytes, score (nats per byte,
     shrunk), perplexity (per byte), low, high, kept."""
     keys = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("id"), "lang")
@@ -205,11 +197,11 @@ def quality_classifier(documents: DataFrame, labels: DataFrame, order: int = 5,
 
     known = cut(scored(trusted))
     seen, unseen = known.where(~held_out()), known.where(held_out())
-    low, high = bounds(seen, []).first()["low"], bounds(unseen, []).first()["high"]
+    low, high = bounds(seen, [], tail).first()["low"], bounds(unseen, [], tail).first()["high"]
     low = float("-inf") if low is None else low  # no trusted documents
     high = float("inf") if high is None else high
-    per = bounds(seen, ["lang"]).select(F.col("lang").alias("_l"), "low")
-    per = per.join(bounds(unseen, ["lang"]).select(F.col("lang").alias("_m"), "high"), F.col("_l").eqNullSafe(F.col("_m")), "left").drop("_m")
+    per = bounds(seen, ["lang"], tail).select(F.col("lang").alias("_l"), "low")
+    per = per.join(bounds(unseen, ["lang"], tail).select(F.col("lang").alias("_m"), "high"), F.col("_l").eqNullSafe(F.col("_m")), "left").drop("_m")
     out = scored(rows).join(maybe_broadcast(cut(per)), F.col("lang").eqNullSafe(F.col("_l")), "left")
     out = out.withColumns({"low": F.coalesce("low", F.lit(low)), "high": F.coalesce("high", F.lit(high))})
     return out.select("doc_id", "id", "lang", F.col("bytes").alias("n_bytes"), "score", F.exp("score").alias("perplexity"), "low", "high", F.col("score").between(F.col("low"), F.col("high")).alias("kept"))

@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quillbar.llm import kneser_ney, quality_rules
@@ -116,6 +117,36 @@ def test_classifier_in_shards(spark, monkeypatch):
     assert whole == pytest.approx(parts, abs=1e-4)
 
 
+def test_verdicts_are_quantiles(spark):
+    """Scores, bounds and verdicts from the documents' nats, in plain Python."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    tail, prior = 0.1, 50
+    nats = {r["doc_id"]: (r["nats"], r["bytes"]) for r in kneser_ney.perplexities(docs, labels).collect()}
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    marked = labels.select("doc_id", "quality", "toxic", kneser_ney.held_out().alias("held")).collect()
+    good = {r["doc_id"]: r["held"] for r in marked if r["quality"] == 1 and not r["toxic"]}
+
+    def mean(ids):
+        return sum(nats[d][0] for d in ids) / sum(nats[d][1] for d in ids)
+
+    mu = {x: mean([d for d in good if lang[d] == x]) for x in {lang[d] for d in good}}
+    every = mean(good)
+    score = {d: (n + prior * mu.get(lang[d], every)) / (b + prior) for d, (n, b) in nats.items()}
+
+    def bound(held, q, langs):
+        steps = [math.floor(score[d] / kneser_ney.STEP) for d, h in good.items() if h == held and lang[d] in langs]
+        return (np.percentile(steps, 100 * q) + held) * kneser_ney.STEP if steps else None
+
+    rows = kneser_ney.quality_classifier(docs, labels, prior=prior, tail=tail).collect()
+    assert len(rows) == len(lang)
+    for r in rows:
+        d, langs = r["doc_id"], {lang[r["doc_id"]]}
+        low, high = (bound(h, q, langs) or bound(h, q, set(mu)) for h, q in ((False, tail), (True, 1 - tail)))
+        assert (r["score"], r["low"], r["high"]) == pytest.approx((score[d], low, high), abs=1e-9)
+        assert r["kept"] == (low <= score[d] <= high)
+    assert 0 < sum(not r["kept"] for r in rows) < len(rows) / 2
+
+
 def test_classifier_follows_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = kneser_ney.quality_classifier(docs, labels).join(labels, "doc_id").collect()
