@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, kneser_ney, line_dedup, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup
+from . import chat, decontam, kneser_ney, line_dedup, mixing, periodic_runs, quality_rules, secret_scan, sharding, simhash, substring_dedup, suffix_dedup
 from .sql import ORACLE_SQL as ORACLE_SQL
 
 
@@ -59,6 +59,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "n_bytes", "score", "perplexity", "low", "high", "kept")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(made))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,5 +81,7 @@ QUERIES = {
         op8_decontamination,
         op9_simhash,
         op10_quality_classifier,
+        op11_periodic_runs,
+        op13_secret_scan,
     )
 }

@@ -4,6 +4,8 @@ are MD5 sums of whole windows."""
 
 from __future__ import annotations
 
+from .secret_scan import BASE, RULES
+
 #: Words covered by a 50-word window that a document with a smaller id has, too.
 SUBSTRING_DEDUP = r"""
 with split as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
@@ -41,4 +43,55 @@ select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed
 from bytes left join removed using (doc_id) left join kept using (doc_id)
 """
 
-ORACLE_SQL = {"op3_substring_dedup": SUBSTRING_DEDUP, "op7_suffix_dedup": SUFFIX_DEDUP}
+#: Runs of words: stretches of six-word windows that repeat at one distance. The checksum
+#: of the decimal id is made bit by bit.
+PERIODIC_RUNS = r"""
+with split as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+        xor(4294967295, list_reduce(list_prepend(4294967295, flatten([[(ord(c) >> j) & 1 for j in range(8)] for c in string_split(cast(doc_id as varchar), '')])),
+            lambda crc, bit: xor(crc >> 1, case when xor(crc, bit) & 1 = 1 then 3988292384 else 0 end))) as h
+    from documents),
+made as (select doc_id, w, len(w) as n, h // 10 as g, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a from split),
+docs as (
+    select doc_id, n, case when a is null then w else list_concat(w[1:a], [w[a + 1 + i % (1 + (n - a) // (3 + g % 8))] for i in range(n - a)]) end as words
+    from made),
+windows as (
+    select doc_id, n, unnest(range(n - 5)) as i, unnest([md5_number(array_to_string(words[s:s + 5], ' ')) for s in range(1, n - 4)]) as k
+    from docs where n >= 12),
+pairs as (select x.doc_id, x.i, y.i - x.i as q from windows x join windows y on x.doc_id = y.doc_id and x.k = y.k and y.i > x.i and 2 * (y.i - x.i) <= x.n),
+islands as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from pairs),
+stretches as (select doc_id, q, min(i) as s, max(i) + 6 + q as e from islands group by doc_id, q, island),
+runs as (select doc_id, s, e - s as n, min(q) as q from stretches where e - s >= greatest(12, 2 * q) group by doc_id, s, e),
+best as (select doc_id, s, n, q from runs qualify row_number() over (partition by doc_id order by n desc, s, q) = 1),
+listed as (select doc_id, count(*) as n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' order by s, q) as x from runs group by doc_id),
+dropped as (select distinct doc_id, unnest(range(s + q, s + n)) as i from runs),
+placed as (select doc_id, unnest(words) as word, unnest(range(n)) as i from docs),
+kept as (select doc_id, string_agg(word, ' ' order by i) as x from placed anti join dropped using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(l.n_runs, 0) as n_runs, b.s as start, b.n as length, b.q as period, 1000 * b.n // b.q as exponent_milli,
+    sha256(coalesce(l.x, '')) as runs_sha256, sha256(coalesce(k.x, '')) as collapsed_sha256
+from docs d left join listed l using (doc_id) left join best b using (doc_id) left join kept k using (doc_id)
+"""
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+#: Matches of every rule; their places from the lengths of the pieces between them.
+SECRET_SCAN = f"""
+with texts as (select doc_id, coalesce(text, '') as t from documents),
+rules as (select * from (values {", ".join(f"({k}, {_quoted(r.kind)}, {r.kind in [b.kind for b in BASE]})".lower() for k, r in enumerate(RULES))}) r(place, kind, base)),
+hits as ({" union all ".join(f"""
+    select doc_id, {k} as place, {r.least} as least, unnest(regexp_extract_all(t, {_quoted(r.pattern)})) as m, unnest(regexp_extract_all(t, {_quoted(r.pattern)}, {r.group})) as v,
+        unnest(string_split_regex(t, {_quoted(r.pattern)})[:-2]) as gap, unnest(range(len(regexp_extract_all(t, {_quoted(r.pattern)})))) as i
+    from texts where regexp_matches(t, {_quoted(r.pattern)})""" for k, r in enumerate(RULES))}),
+placed as (select *, sum(length(gap) + length(m)) over (partition by doc_id, place order by i) as e from hits),
+spans as (
+    select doc_id, place, kind, base, cast(e - length(m) as bigint) as s, kind || ':' || cast(e - length(m) as bigint) || ':' || cast(e as bigint) as x
+    from placed join rules using (place) where length(v) >= least)
+select d.doc_id, {", ".join(f"count(*) filter (where kind = '{r.kind}') as n_{r.kind}" for r in BASE)},
+    sha256(coalesce(string_agg(x, ',' order by s, place) filter (where base), '')) as base_sha256, coalesce(string_agg(x, ',' order by s, place), '') as spans
+from documents d left join spans using (doc_id) group by d.doc_id
+"""
+
+ORACLE_SQL = {"op13_secret_scan": SECRET_SCAN, "op11_periodic_runs": PERIODIC_RUNS, "op3_substring_dedup": SUBSTRING_DEDUP, "op7_suffix_dedup": SUFFIX_DEDUP}
