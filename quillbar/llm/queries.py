@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, kneser_ney, line_dedup, mixing, periodic_runs, quality_rules, secret_scan, sharding, simhash, substring_dedup, suffix_dedup
+from . import chat, decontam, kneser_ney, line_dedup, mixing, periodic_runs, prefix_trie, quality_rules, secret_scan, sharding, simhash, substring_dedup, suffix_dedup
 from .sql import ORACLE_SQL as ORACLE_SQL
 
 
@@ -64,6 +64,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(made))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -82,6 +86,7 @@ QUERIES = {
         op9_simhash,
         op10_quality_classifier,
         op11_periodic_runs,
+        op12_prefix_trie,
         op13_secret_scan,
     )
 }

@@ -72,6 +72,35 @@ select d.doc_id, coalesce(l.n_runs, 0) as n_runs, b.s as start, b.n as length, b
 from docs d left join listed l using (doc_id) left join best b using (doc_id) left join kept k using (doc_id)
 """
 
+#: Nodes are JSON texts of prefixes; a node's subtree are the nodes whose smallest member
+#: has it as a prefix.
+PREFIX_TRIE = r"""
+with own as (
+    select conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} order by turn nulls first) as l,
+        xor(4294967295, list_reduce(list_prepend(4294967295, flatten([[(ord(c) >> j) & 1 for j in range(8)] for c in string_split(cast(conv_id as varchar), '')])),
+            lambda crc, bit: xor(crc >> 1, case when xor(crc, bit) & 1 = 1 then 3988292384 else 0 end))) % 4 as h
+    from conversations where conv_id is not null group by conv_id),
+made as (
+    select x.conv_id, case when y.l is null then x.l[x.h + 1:] else list_concat(y.l[1:x.h], x.l[x.h + 1:]) end as l
+    from own x left join own y on y.conv_id = x.conv_id - x.conv_id % 20),
+places as (select conv_id, l, unnest(range(len(l) + 1)) as d from made),
+occurs as (
+    select conv_id, d, len(l) = d as last, md5(cast(to_json(l[1:d]) as varchar)) as k, case when d > 0 then md5(cast(to_json(l[1:d - 1]) as varchar)) end as p,
+        case when d > 0 then len(regexp_extract_all(l[d].t, '[^\x20\x09-\x0D]+')) else 0 end as words
+    from places),
+nodes as (
+    select d, k, any_value(p) as p, min(conv_id) as c, count(*) as n, any_value(words) as words,
+        sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where last), '')) as ends_sha256
+    from occurs group by d, k),
+kids as (select p, d - 1 as d, count(*) as n from nodes where d > 0 group by p, d),
+known as (select x.*, coalesce(y.n, 0) as n_children, (x.n - 1) * x.words as saved from nodes x left join kids y on y.p = x.k and y.d = x.d),
+below as (
+    select o.d, o.k, count(*) filter (where x.n_children = 0) as n_leaves, cast(sum(x.saved) as bigint) as saved
+    from known x join occurs o on o.conv_id = x.c and o.d <= x.d group by o.d, o.k)
+select x.c as conv_id, x.d as depth, y.c as parent_conv_id, x.n as n_convs, x.n_children, b.n_leaves, b.saved as saved_tokens, x.ends_sha256
+from known x join below b on b.d = x.d and b.k = x.k left join nodes y on y.d = x.d - 1 and y.k = x.p
+"""
+
 
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
@@ -94,4 +123,4 @@ select d.doc_id, {", ".join(f"count(*) filter (where kind = '{r.kind}') as n_{r.
 from documents d left join spans using (doc_id) group by d.doc_id
 """
 
-ORACLE_SQL = {"op13_secret_scan": SECRET_SCAN, "op11_periodic_runs": PERIODIC_RUNS, "op3_substring_dedup": SUBSTRING_DEDUP, "op7_suffix_dedup": SUFFIX_DEDUP}
+ORACLE_SQL = {"op12_prefix_trie": PREFIX_TRIE, "op13_secret_scan": SECRET_SCAN, "op11_periodic_runs": PERIODIC_RUNS, "op3_substring_dedup": SUBSTRING_DEDUP, "op7_suffix_dedup": SUFFIX_DEDUP}
