@@ -10,6 +10,12 @@ waits for nothing; both come from pointer doubling, in as many joins as the
 logarithm of the longest chain. Arguments are checked against the tool's schema and
 every message is written as canonical JSON (sorted keys, no spaces, UTF-8).
 
+A text that is no JSON, or is nested deeper than Python reads, is a plain message. A
+call's arguments may be a JSON text of an object. Content beside calls is a message node
+before them, and a list without calls leaves one, too, so no message is lost. Numbers
+that JSON cannot say (NaN, infinities) are written as null and are an error; lone
+surrogates are written as escapes.
+
 Null conv_id or call id: never linked. An id used by several calls of a conversation
 names the earliest; the others are not linked. A chain that returns to itself has
 null depth and sorts by its own turn. Null text or payload counts as null content. Extra
@@ -19,6 +25,8 @@ columns are left out. Repeated rows are repeated in the result.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -32,22 +40,41 @@ NODE = "conv_id long, turn long, part int, kind string, call_id string, name str
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+def plain(text: str) -> str:
+    """``text`` with lone surrogates as escapes, so that it can be encoded."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def parse(conversations: DataFrame) -> DataFrame:
     """Nodes of messages whose text is JSON: an assistant's ``tool_calls`` (id, name,
     arguments, after) and a tool's ``tool_call_id`` with ``content``. Any other
     message is a node of kind message with its text as payload."""
 
+    def as_text(x: Any) -> str | None:
+        return None if x is None else plain(str(x))
+
+    def call(c: Any) -> tuple:
+        c = c if isinstance(c, dict) else {"arguments": c}
+        given = c.get("arguments")
+        if isinstance(given, str):
+            try:
+                read = json.loads(given)
+            except (ValueError, RecursionError):
+                read = None
+            given = read if isinstance(read, dict) else given
+        return ("call", as_text(c.get("id")), as_text(c.get("name")), as_text(c.get("after")), json.dumps(given))
+
     def nodes(role: str | None, text: str | None) -> list[tuple]:
         try:
             body = json.loads(text) if text and text.lstrip()[:1] == "{" else None
-        except ValueError:
-            body = None
-        if role == "assistant" and isinstance(body, dict) and isinstance(body.get("tool_calls"), list):
-            calls = [c for c in body["tool_calls"] if isinstance(c, dict)]
-            as_text = lambda x: None if x is None else str(x)
-            return [("call", as_text(c.get("id")), as_text(c.get("name")), as_text(c.get("after")), json.dumps(c.get("arguments"))) for c in calls]
-        if role == "tool" and isinstance(body, dict) and "tool_call_id" in body:
-            return [("result", str(body["tool_call_id"]), None, None, json.dumps(body.get("content")))]
+            if role == "assistant" and isinstance(body, dict) and isinstance(body.get("tool_calls"), list):
+                calls = [call(c) for c in body["tool_calls"]]
+                said = body.get("content")
+                return [("message", None, role, None, json.dumps(said))] * (not calls or said not in (None, "")) + calls
+            if role == "tool" and isinstance(body, dict) and "tool_call_id" in body:
+                return [("result", as_text(body["tool_call_id"]), None, None, json.dumps(body.get("content")))]
+        except (ValueError, RecursionError):
+            pass
         return [("message", None, role, None, json.dumps(text))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,8 +142,37 @@ def violations(arguments: Any, schema: dict[str, Any] | None) -> list[str]:
     return sorted(found)
 
 
+def finite(value: Any) -> tuple[Any, bool]:
+    """``value`` with null for every number that JSON cannot say; whether there is one."""
+    if isinstance(value, float) and not math.isfinite(value):
+        return None, True
+    if isinstance(value, list):
+        made = [finite(v) for v in value]
+        return [v for v, _ in made], any(x for _, x in made)
+    if isinstance(value, dict):
+        made = {k: finite(v) for k, v in value.items()}
+        return {k: v for k, (v, _) in made.items()}, any(x for _, x in made.values())
+    return value, False
+
+
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return plain(json.dumps(value, sort_keys=True, ensure_ascii=False, allow_nan=False, separators=(",", ":")))
+
+
+def written(kind: str, call_id: str | None, name: str | None, after: str | None, payload: str | None, schemas: dict[str, dict[str, Any]]) -> tuple[list[str], str | None]:
+    """What is wrong with a node, and its canonical JSON (null if it cannot be written)."""
+    try:
+        value, odd = finite(json.loads(payload) if isinstance(payload, str) else None)
+        wrong = violations(value, schemas.get(name)) if kind == "call" else []
+        if kind == "call":
+            body = {"arguments": value, "id": call_id, "name": name, "role": "assistant"} | ({"after": after} if after else {})
+        elif kind == "result":
+            body = {"content": value, "role": "tool", "tool_call_id": call_id}
+        else:
+            body = {"content": value, "role": name}
+        return wrong + ["not a finite number"] * odd, canonical(body)
+    except RecursionError:
+        return ["nested too deeply"], None
 
 
 def link(nodes: DataFrame, schemas: dict[str, dict[str, Any]]) -> DataFrame:
@@ -148,21 +204,10 @@ def link(nodes: DataFrame, schemas: dict[str, dict[str, Any]]) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            wrong, written = [], []
-            for kind, call_id, name, after, payload in zip(f["kind"], f["call_id"], f["name"], f["after"], f["payload"], strict=True):
-                value = json.loads(payload) if isinstance(payload, str) else None
-                if kind == "call":
-                    wrong.append("; ".join(violations(value, schemas.get(name))))
-                    body = {"arguments": value, "id": call_id, "name": name, "role": "assistant"} | ({"after": after} if after else {})
-                elif kind == "result":
-                    wrong.append("")
-                    body = {"content": value, "role": "tool", "tool_call_id": call_id}
-                else:
-                    wrong.append("")
-                    body = {"content": value, "role": name}
-                written.append(canonical(body))
+            made = [written(*node, schemas) for node in zip(f["kind"], f["call_id"], f["name"], f["after"], f["payload"], strict=True)]
+            wrong = ["; ".join(w) for w, _ in made]
             out = f[["conv_id", "turn", "part", "kind", "call_id", "linked", "order_turn", "depth"]].copy()
-            yield out.assign(valid=[not w for w in wrong], errors=wrong, json=written).astype({c: "Int64" for c in ("conv_id", "turn", "order_turn", "depth")})
+            yield out.assign(valid=[not w for w in wrong], errors=wrong, json=[j for _, j in made]).astype({c: "Int64" for c in ("conv_id", "turn", "order_turn", "depth")})
 
     return rows.mapInPandas(run, schema)
 

@@ -25,7 +25,7 @@ ODD = [
     (9011, "same line here now\n" * 40, "en", "c", 9),
 ]
 
-CLASHES = ("doc", "sub", "k", "a", "b", "h", "fp", "id", "words", "w", "spans", "size", "slot", "shard", "target", "taken", "root", "node", "_d", "_i", "_times", "_ratios", "yes", "n")
+CLASHES = ("doc", "sub", "k", "a", "b", "h", "fp", "id", "words", "w", "spans", "size", "slot", "shard", "target", "taken", "root", "node", "_d", "_i", "_times", "_ratios", "yes", "n", "_k", "_n", "_row", "_h", "_tie", "_b1", "_b2")
 
 
 def documents(spark, rows, schema=COLUMNS):

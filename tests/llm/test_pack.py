@@ -378,3 +378,41 @@ def test_queries_are_registered():
     names = set(entry.queries())
     assert "pipeline" in names and set(queries.QUERIES) <= names
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_messages_that_json_makes_hard(spark):
+    """Lone surrogates, numbers JSON has not, deep nesting, empty call lists, content
+    beside calls, arguments as text: no crash, and nothing lost."""
+    deep = '{"tool_calls":[{"id":"d","name":"search","arguments":' + '{"a":' * 200_000 + "1" + "}" * 200_000 + "}]}"
+    deeper = '{"tool_call_id":"d","content":' + "[" * 900 + "]" * 900 + "}"
+    said = [
+        ("assistant", r'{"tool_calls":[{"id":"a","name":"search","arguments":{"query":"\ud800","limit":1}}]}'),
+        ("tool", r'{"tool_call_id":"a","content":"\udfff and \ud83d\ude00"}'),
+        ("assistant", '{"content":"hello","tool_calls":[]}'),
+        ("assistant", '{"content":"I look it up","tool_calls":[{"id":"b","name":"search","arguments":{"query":"q","limit":NaN}}]}'),
+        ("tool", '{"tool_call_id":"b","content":[1e999,-Infinity,1]}'),
+        ("assistant", '{"tool_calls":[{"id":"c","name":"search","arguments":"{\\"query\\":\\"q\\",\\"limit\\":2}"},{"id":"e","name":"search","arguments":"no"},7]}'),
+        ("assistant", deep),
+        ("tool", deeper),
+        ("assistant", '{"tool_calls":[]}'),
+        ("tool", '{"tool_call_id":null,"content":"x"}'),
+        ("assistant", r'{"tool_calls":[{"id":"\ud800","name":"look","arguments":{"how":"near"}}]}'),
+    ]
+    table = spark.createDataFrame([(1, t, role, text) for t, (role, text) in enumerate(said)], "conv_id long, turn long, role string, text string")
+    rows = {(r["turn"], r["part"]): r for r in chat.link(chat.parse(table), chat.TOOLS).collect()}
+    assert {t for t, _ in rows} == set(range(len(said)))
+    text = lambda t, p=0: rows[t, p]["json"]
+    assert text(0) == r'{"arguments":{"limit":1,"query":"\ud800"},"id":"a","name":"search","role":"assistant"}' and rows[0, 0]["valid"] and rows[0, 0]["linked"]
+    assert text(1) == '{"content":"\\udfff and \U0001f600","role":"tool","tool_call_id":"a"}'
+    assert json.loads(text(1))["content"] == "\udfff and \U0001f600"
+    assert (rows[2, 0]["kind"], text(2)) == ("message", '{"content":"hello","role":"assistant"}')
+    assert (rows[3, 0]["kind"], text(3)) == ("message", '{"content":"I look it up","role":"assistant"}')
+    assert rows[3, 1]["linked"] and not rows[3, 1]["valid"] and json.loads(text(3, 1))["arguments"] == {"limit": None, "query": "q"}
+    assert text(4) == '{"content":[null,null,1],"role":"tool","tool_call_id":"b"}' and rows[4, 0]["errors"] == "not a finite number"
+    assert rows[5, 0]["valid"] and json.loads(text(5))["arguments"] == {"limit": 2, "query": "q"}
+    assert not rows[5, 1]["valid"] and not rows[5, 2]["valid"] and json.loads(text(5, 2))["arguments"] == 7
+    assert rows[6, 0]["kind"] == "message" and json.loads(text(6))["content"] == deep
+    assert text(7) is not None or rows[7, 0]["errors"] == "nested too deeply"
+    assert text(8) == '{"content":null,"role":"assistant"}'
+    assert rows[9, 0]["call_id"] is None and not rows[9, 0]["linked"]
+    assert rows[10, 0]["call_id"] == r"\ud800" and rows[10, 0]["valid"]
