@@ -6,7 +6,9 @@ gives null, and a rolling value is null until its window is full of non-nulls.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +17,21 @@ from pyspark.sql.window import Window, WindowSpec
 SYMBOL, DATE = "symbol", "dt"
 
 
+_KEYS: ContextVar[tuple[str, ...]] = ContextVar("keys", default=(SYMBOL,))
+
+
+@contextmanager
+def within(*keys: str) -> Iterator[None]:
+    """Columns made in here take the rows of ``keys`` together, not of a symbol."""
+    token = _KEYS.set(keys)
+    try:
+        yield
+    finally:
+        _KEYS.reset(token)
+
+
 def by_date() -> WindowSpec:
-    return Window.partitionBy(SYMBOL).orderBy(DATE)
+    return Window.partitionBy(*_KEYS.get()).orderBy(DATE)
 
 
 def prev(x: Column | str, n: int = 1) -> Column:

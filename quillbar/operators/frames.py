@@ -7,11 +7,14 @@ they are split, so a label near a split's end may look into the next split.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import chunks
+from ..functions.chunks import CHUNK, OWN, ROLE
 from ..functions.kernels import DATE, SYMBOL
 from ..sources.bars import stored
 from .indicators import feature_columns, features
@@ -63,16 +66,20 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFr
     return joined.select(*[scaled.get(c, F.col(c)) for c in df.columns])
 
 
-def sliding_windows(df: DataFrame, columns: list[str], window: int = 120, by: tuple[str, ...] = (SYMBOL, "split")) -> DataFrame:
+def sliding_windows(df: DataFrame, columns: list[str], window: int = 120, by: tuple[str, ...] = (SYMBOL, "split"), size: int | None = None) -> DataFrame:
     """(symbol, split, end_dt, features, y): the last ``window`` rows of a split,
     a sample per row with a label; samples with a null cell and rows outside all
-    splits are left out. A task holds one frame of rows, not a symbol."""
-    frame = Window.partitionBy(*by).orderBy(DATE).rowsBetween(-(window - 1), 0)
-    rows = df.where(F.col("split").isNotNull()).select(*by, DATE, "label", F.array(*[F.col(c).cast("float") for c in columns]).alias("_row"))
-    rows = rows.withColumn("features", F.collect_list("_row").over(frame))
-    full = F.forall("features", lambda r: F.forall(r, lambda x: x.isNotNull() & ~F.isnan(x)))
-    rows = rows.where((F.size("features") == window) & F.col("label").isNotNull() & full)
-    return rows.select(*by, F.col(DATE).alias("end_dt"), "features", F.col("label").cast("long").alias("y"))
+    splits are left out. A task holds chunks of ``size`` rows with ``window`` - 1 from
+    before. Reads df twice: the second time for its rows, the first for their number."""
+    rows = df.where(F.col("split").isNotNull())
+    placed, _ = chunks.dealt(rows.select(*by, DATE, "label", *columns), by, size, cold=window - 1)
+    cells = [F.col(c).cast("float") for c in columns]
+    whole = reduce(lambda a, b: a & b, [x.isNotNull() & ~F.isnan(x) for x in cells]).cast("int")
+    placed = placed.select(*by, CHUNK, ROLE, DATE, "label", F.array(*cells).alias("_row"), whole.alias("_whole"))
+    frame = Window.partitionBy(*by, CHUNK).orderBy(DATE).rowsBetween(-(window - 1), 0)
+    made = placed.withColumns({"features": F.collect_list("_row").over(frame), "_full": F.sum("_whole").over(frame)})
+    made = made.where((F.col(ROLE) == OWN) & (F.col("_full") == window) & F.col("label").isNotNull())
+    return made.select(*by, F.col(DATE).alias("end_dt"), "features", F.col("label").cast("long").alias("y"))
 
 
 def samples(bars: DataFrame, splits: dict[str, tuple[str, str]] = SPLITS, config: Samples | None = None) -> DataFrame:

@@ -1,9 +1,10 @@
 """Technical indicators over bars, built only as far as they are asked for.
 
-A family is what it needs before its recurrences, the recurrences, and layers of
-columns after them; a layer may use windows over the columns of the layers before
-it. All windows share one partitioning and order, so all layers together are one
-shuffle and one sort; recurrences add one more.
+A family is layers of columns made by windows, recurrences over them, and columns made
+of a row's own values after them; a layer may use windows over the columns of the
+layers before it. Rows are dealt by symbol and chunk of time with a halo of as many rows
+as windows and steps look back over (see functions.chunks), so a symbol's history is not
+one task's. All windows share that one shuffle and sort, and so do the recurrences.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import SYMBOL, at_least, change, deviation, gap_days, highest, lowest, mean, prev, ratio, rsum, where
-from ..functions.recurrences import Ewm, Minus, Step, Stop, scan, span
+from ..functions import chunks
+from ..functions.chunks import CHUNK, LATER, OWN, ROLE
+from ..functions.kernels import SYMBOL, at_least, change, deviation, gap_days, highest, lowest, mean, prev, ratio, rsum, where, within
+from ..functions.recurrences import Back, Ewm, Minus, Over, Step, Steps, Stop, Sum, entry_states, solved, span
+from ..sources.bars import stored
 
 Layer = dict[str, Column]
 
@@ -24,6 +28,7 @@ Layer = dict[str, Column]
 class Params:
     """Periods and multipliers of every indicator."""
 
+    # The usual periods.
     ema: tuple[int, ...] = (5, 10, 20, 60)
     boll: int = 20
     boll_width: float = 2.0
@@ -50,15 +55,23 @@ class Params:
     mi: tuple[int, int] = (9, 25)
     srmi: int = 14
 
+    @property
+    def reach(self) -> int:
+        """Rows that the windows of any family look back over, all its layers together."""
+        single = (self.boll, self.kc, self.arbr, self.psy, self.vr, self.atr, self.ddi, self.kdj, self.osc, self.srmi)
+        return 2 + max(*single, 4 * self.dmi, 2 * self.adtm, 2 * self.cci, self.dpo + self.dpo // 2 + 1)
+
 
 @dataclass
 class Family:
+    """``before``: layers that may use windows. ``after``: layers of a row's own values,
+    behind the steps."""
+
     before: list[Layer] = field(default_factory=list)
     steps: list[Step] = field(default_factory=list)
     after: list[Layer] = field(default_factory=list)
 
 
-
 def true_range() -> Column:
     """Of the first row: high - low, since greatest skips nulls."""
     c = prev("close")
@@ -76,28 +89,28 @@ def families(p: Params, dialect: str) -> dict[str, Family]:
     before_open = prev("open")
     made: dict[str, Family] = {}
 
-    made["gap"] = Family(after=[{"gap_days": at_least(gap_days(), 0).cast("int") if dialect == "model" else gap_days()}])
-    made["ret"] = Family(after=[{"ret": ratio(c, prev("close")) - 1}])
+    made["gap"] = Family(before=[{"gap_days": at_least(gap_days(), 0).cast("int") if dialect == "model" else gap_days()}])
+    made["ret"] = Family(before=[{"ret": ratio(c, prev("close")) - 1}])
     made["ema"] = Family(
-        steps=[Ewm(f"ema_{n}", "close", span(n)) for n in p.ema],
-        after=[{f"ema_{n}_slope": col(f"ema_{n}") - prev(f"ema_{n}") for n in p.ema}],
+        steps=[s for n in p.ema for s in (Ewm(f"ema_{n}", "close", span(n)), Back(f"_ema_{n}", f"ema_{n}"), Minus(f"ema_{n}_slope", f"ema_{n}", f"_ema_{n}"))],
     )
     made["boll"] = Family(
-        after=[{"boll_mid": mean("close", p.boll), "_sd": deviation("close", p.boll)}, {"boll_up": col("boll_mid") + p.boll_width * col("_sd"), "boll_low": col("boll_mid") - p.boll_width * col("_sd")}],
+        before=[{"boll_mid": mean("close", p.boll), "_sd": deviation("close", p.boll)}, {"boll_up": col("boll_mid") + p.boll_width * col("_sd"), "boll_low": col("boll_mid") - p.boll_width * col("_sd")}],
     )
-    made["tr"] = Family(after=[{"true_range": true_range()}])
-    made["atr"] = Family(after=[tr, {"atr": mean("_tr", p.atr)}])
+    made["tr"] = Family(before=[{"true_range": true_range()}])
+    made["atr"] = Family(before=[tr, {"atr": mean("_tr", p.atr)}])
     made["sar"] = Family(steps=[Stop("sar", step=p.sar_step, most=p.sar_most)])
     made["kc"] = Family(
+        before=[tr, {"_reach": p.kc_width * mean("_tr", p.kc)}],
         steps=[Ewm("kc_mid", "close", span(p.kc))],
-        after=[tr, {"_reach": p.kc_width * mean("_tr", p.kc)}, {"kc_up": col("kc_mid") + col("_reach"), "kc_low": col("kc_mid") - col("_reach")}],
+        after=[{"kc_up": col("kc_mid") + col("_reach"), "kc_low": col("kc_mid") - col("_reach")}],
     )
     made["macd"] = Family(
         steps=[Ewm("_fast", "close", span(fast)), Ewm("_slow", "close", span(slow)), Minus("macd_dif", "_fast", "_slow"), Ewm("macd_dea", "macd_dif", span(signal))],
         after=[{"macd_hist": 2 * (col("macd_dif") - col("macd_dea"))}],
     )
     made["dmi"] = Family(
-        after=[
+        before=[
             tr | {"_pdm": where((up > down) & (up > 0), up), "_mdm": where((down > up) & (down > 0), down)},
             {"pdi": 100 * ratio(rsum("_pdm", p.dmi), rsum("_tr", p.dmi)), "mdi": 100 * ratio(rsum("_mdm", p.dmi), rsum("_tr", p.dmi))},
             {"_dx": 100 * ratio(F.abs(col("pdi") - col("mdi")), col("pdi") + col("mdi"))},
@@ -106,11 +119,11 @@ def families(p: Params, dialect: str) -> dict[str, Family]:
         ],
     )
     made["dma"] = Family(
-        steps=[Ewm("_short", "close", span(short)), Ewm("_long", "close", span(long)), Minus("dma", "_short", "_long")],
-        after=[{"ama": mean("dma", smooth)}],
+        steps=[Ewm("_short", "close", span(short)), Ewm("_long", "close", span(long)), Minus("dma", "_short", "_long"), Sum("_dma", "dma", smooth)],
+        after=[{"ama": col("_dma") / smooth}],
     )
     made["adtm"] = Family(
-        after=[
+        before=[
             {"_dtm": where(o > before_open, F.greatest(h - o, o - before_open)), "_dbm": where(o < before_open, F.greatest(o - l, before_open - o))},
             {"_stm": rsum("_dtm", p.adtm), "_sbm": rsum("_dbm", p.adtm)},
             {"adtm": ratio(col("_stm") - col("_sbm"), F.greatest("_stm", "_sbm"))},
@@ -119,7 +132,7 @@ def families(p: Params, dialect: str) -> dict[str, Family]:
     )
     typical = (h + l + c) / 3
     made["cci"] = Family(
-        after=[{"_tp": typical}, {"_tpm": mean("_tp", p.cci)}, {"_md": mean(F.abs(col("_tp") - col("_tpm")), p.cci)}, {"cci": ratio(col("_tp") - col("_tpm"), 0.015 * col("_md"))}],
+        before=[{"_tp": typical}, {"_tpm": mean("_tp", p.cci)}, {"_md": mean(F.abs(col("_tp") - col("_tpm")), p.cci)}, {"cci": ratio(col("_tp") - col("_tpm"), 0.015 * col("_md"))}],
     )
     floor, roof = lowest("low", p.kdj), highest("high", p.kdj)
     made["kdj"] = Family(
@@ -134,34 +147,33 @@ def families(p: Params, dialect: str) -> dict[str, Family]:
         after=[{"rsi": F.when((loss == 0) & (gain > 0), 100.0).otherwise(100 - 100 / (1 + ratio(gain, loss)))}],
     )
     made["arbr"] = Family(
-        after=[
+        before=[
             {"_ho": h - o, "_ol": o - l, "_hc": h - prev("close"), "_cl": prev("close") - l},
             {"ar": 100 * ratio(rsum("_ho", p.arbr), rsum("_ol", p.arbr)), "br": 100 * ratio(rsum("_hc", p.arbr), rsum("_cl", p.arbr))},
         ],
     )
-    made["psy"] = Family(after=[{"_rose": where(rise > 0, F.lit(1.0))}, {"psy": 100 * rsum("_rose", p.psy) / p.psy}])
+    made["psy"] = Family(before=[{"_rose": where(rise > 0, F.lit(1.0))}, {"psy": 100 * rsum("_rose", p.psy) / p.psy}])
     half_flat = 0.5 * rsum("_vflat", p.vr)
     made["vr"] = Family(
-        after=[
+        before=[
             {"_vup": where(rise > 0, v), "_vdown": where(rise < 0, v), "_vflat": where(rise == 0, v)},
             {"vr": 100 * ratio(rsum("_vup", p.vr) + half_flat, rsum("_vdown", p.vr) + half_flat)},
         ],
     )
     made["ddi"] = Family(
-        after=[
+        before=[
             {"_z": where((dh > dl) & (h > prev("high")), dh), "_f": where((dl > dh) & (l < prev("low")), dl)},
             {"ddi_dmz": rsum("_z", p.ddi), "ddi_dmf": rsum("_f", p.ddi)},
             {"ddi": ratio(col("ddi_dmz") - col("ddi_dmf"), col("ddi_dmz") + col("ddi_dmf"))},
         ],
     )
-    made["dpo"] = Family(after=[{"_sma": mean("close", p.dpo)}, {"dpo": c - prev("_sma", p.dpo // 2 + 1)}])
+    made["dpo"] = Family(before=[{"_sma": mean("close", p.dpo)}, {"dpo": c - prev("_sma", p.dpo // 2 + 1)}])
     made["osc"] = Family(before=[{"osc": c - mean("close", p.osc)}], steps=[Ewm("osc_signal", "osc", span(p.osc_signal))])
     made["mi"] = Family(
         before=[{"_hl": h - l}],
-        steps=[Ewm("_hl1", "_hl", span(p.mi[0])), Ewm("_hl2", "_hl1", span(p.mi[0]))],
-        after=[{"_mass": ratio(col("_hl1"), col("_hl2"))}, {"mi": rsum("_mass", p.mi[1])}],
+        steps=[Ewm("_hl1", "_hl", span(p.mi[0])), Ewm("_hl2", "_hl1", span(p.mi[0])), Over("_mass", "_hl1", "_hl2"), Sum("mi", "_mass", p.mi[1])],
     )
-    made["srmi"] = Family(after=[{"srmi": 100 * ratio(c - lowest("close", p.srmi), highest("close", p.srmi) - lowest("close", p.srmi))}])
+    made["srmi"] = Family(before=[{"srmi": 100 * ratio(c - lowest("close", p.srmi), highest("close", p.srmi) - lowest("close", p.srmi))}])
     return made
 
 
@@ -195,18 +207,24 @@ def _layers(df: DataFrame, each: Iterable[list[Layer]]) -> DataFrame:
     return df
 
 
-def indicators(bars: DataFrame, which: Iterable[str] = RAW, params: Params | None = None, dialect: str = "raw") -> DataFrame:
+def indicators(bars: DataFrame, which: Iterable[str] = RAW, params: Params | None = None, dialect: str = "raw", size: int | None = None) -> DataFrame:
     """``bars`` with the columns of the families ``which``. Dialects: ``raw`` keeps
-    all rows; ``model`` clips gap_days at 0 (rows are cleaned by features())."""
+    all rows; ``model`` clips gap_days at 0 (rows are cleaned by features()). Bars are
+    written once, and chunks have ``size`` rows or more; a history of several is read
+    again for each level of its recurrences."""
     if dialect not in ("raw", "model"):
         raise ValueError(f"no dialect {dialect}")
-    which = list(which)
-    every = families(params or Params(), dialect)
-    chosen = [every[k] for k in which]
-    df = bars
-    steps = [s for f in chosen for s in f.steps]
-    if steps:
-        df = scan(_layers(df, [f.before for f in chosen]), steps)
+    which, params = list(which), params or Params()
+    with within(SYMBOL, CHUNK):
+        every = families(params, dialect)
+        chosen = [every[k] for k in which]
+        steps = Steps([s for f in chosen for s in f.steps])
+        placed, most = chunks.dealt(stored(bars), (SYMBOL,), size, cold=params.reach, warm=steps.halo)
+        df = _layers(placed, [f.before for f in chosen])
+    if steps.steps:
+        df = solved(df, steps, entry_states(df, steps) if most > 1 else None)
+    else:
+        df = df.where(F.col(ROLE) == OWN).drop(CHUNK, ROLE, LATER)
     return _layers(df, [f.after for f in chosen]).select(*bars.columns, *columns_of(which, params))
 
 

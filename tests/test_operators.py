@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillbar.functions import kernels
-from quillbar.functions.recurrences import Ewm, Stop, scan, span
+from quillbar.functions import chunks
+from quillbar.functions.recurrences import Back, Ewm, Minus, Over, Stop, Sum, scan, span
 from quillbar.operators import charts, frames, indicators, labels, metrics, models, signals
 from quillbar.sources import bars as B
 from tests.helpers import DATA, bars, column
@@ -256,3 +257,93 @@ def test_trained_numbers(spark):
     made = spark.createDataFrame(rows, "symbol string, split string, end_dt date, y long, features array<array<float>>")
     model, top = models.select(made, 2, rounds=5)
     assert models.parameters(model) == 2 * 4 + 2 and round(top, 6) == 0.5
+
+
+def brute_stop(rows):
+    stop, top, af, before, out = None, None, 0.02, None, []
+    for h, l in rows:  # noqa: E741
+        if h is None or l is None:
+            out.append(None)
+            continue
+        if stop is None:
+            stop, top = l, h
+        else:
+            stop = min(stop + af * (top - stop), before, l)
+            if h > top:
+                top, af = h, min(af + 0.02, 0.2)
+        before = l
+        out.append(stop)
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 7, 40, 10_000])
+def test_recurrences_in_chunks(spark, size):
+    """Chunks of any size give what a stream of all rows gives: gaps of nulls at chunks'
+    ends, a symbol that starts late, one of a single row, and nested steps."""
+    data = {s: walk(n, seed=n) for s, n in (("A", 130), ("B", 1), ("C", 61))}
+    rows = {s: [(o, h if i % 11 else None, l, None if i % 5 == 0 or i < 33 or 50 < i < 75 else c, v) for i, (o, h, l, c, v) in enumerate(d)] for s, d in data.items()}
+    rows["D"] = [(1, 2, 1, None, 1)] * 30
+    df = None
+    for s, r in rows.items():
+        one = bars(spark, r, s)
+        df = one if df is None else df.unionByName(one)
+    steps = [Ewm("y", "close", span(9)), Ewm("w", "close", span(4)), Minus("m", "y", "w"), Ewm("z", "m", span(4)), Stop("sar"), Over("r", "y", "z"), Back("b", "y", 2), Sum("t", "z", 5)]
+    out = scan(df, steps, size).toPandas()
+    assert len(out) == sum(map(len, rows.values()))
+    for s, r in rows.items():
+        mine = out[out.symbol == s].sort_values("dt")
+        close = pd.Series([x[3] for x in r], dtype=float)
+        y, w = close.ewm(span=9, adjust=False).mean(), close.ewm(span=4, adjust=False).mean()
+        z = (y - w).ewm(span=4, adjust=False).mean()
+        want = {"y": y, "m": y - w, "z": z, "r": (y / z.where(z != 0)), "b": y.shift(2), "t": z.rolling(5).sum(), "sar": pd.Series(brute_stop([(x[1], x[2]) for x in r]), dtype=float)}
+        for name, x in want.items():
+            assert np.allclose(mine[name].astype(float), x, equal_nan=True, rtol=1e-7, atol=1e-9), (s, name)
+
+
+@pytest.mark.parametrize("size", [1, 7])
+def test_indicators_in_chunks(spark, size):
+    df = bars(spark, walk(150)).unionByName(bars(spark, walk(60, 1), symbol="Y"))
+    small = indicators.indicators(df, size=size).orderBy("symbol", "dt").toPandas()
+    whole = indicators.indicators(df, size=10_000).orderBy("symbol", "dt").toPandas()
+    for c in whole.columns[2:]:
+        assert np.allclose(small[c].astype(float), whole[c].astype(float), equal_nan=True), c
+
+
+def test_one_symbol_runs_in_many_tasks(spark):
+    """Chunks of whole months, each with its halo; a task holds no more than these."""
+    df = bars(spark, walk(2_000))
+    placed, most = chunks.dealt(df, size=100, cold=30, warm=20)
+    per = placed.groupBy("_chunk").agg(F.count("*").alias("n"), F.sum((F.col("_role") == chunks.OWN).cast("int")).alias("own")).collect()
+    assert most == len(per) >= 8 and sum(r["own"] for r in per) == 2_000
+    assert max(r["n"] for r in per) <= 100 + 30 + 20 + 3 * 23
+    made = scan(df, [Ewm("y", "close", 0.1), Stop("sar")], size=100)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        tasks = scan(df, [Ewm("y", "close", 0.1)], size=100).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert tasks >= 8 and made.count() == 2_000
+
+
+def test_cuts():
+    """Every bucket is one chunk's own; halos reach back far enough, also over chunks."""
+    counts = [3, 1, 9, 2, 2, 2, 30, 1, 1, 1, 1]
+    for size in (1, 4, 10, 100):
+        found = chunks.cuts(counts, size, 5, 4)
+        own = [(k, c) for k, c, role, _ in found if role == chunks.OWN]
+        assert [k for k, _ in own] == list(range(len(counts))) and [c for _, c in own] == sorted(c for _, c in own)
+        for chunk in {c for _, c in own}:
+            first = min(k for k, c in own if c == chunk)
+            warm = sum(counts[k] for k, c, role, _ in found if c == chunk and role == chunks.WARM)
+            cold = sum(counts[k] for k, c, role, _ in found if c == chunk and role == chunks.COLD)
+            assert warm >= min(4, sum(counts[:first])) and warm + cold >= min(9, sum(counts[:first]))
+        # what later chunks do not repeat is every bucket once
+        assert sorted(k for k, c, role, later in found if role != chunks.COLD and not later) == list(range(len(counts)))
+
+
+@pytest.mark.parametrize("size", [1, 25])
+def test_windows_in_chunks(spark, size):
+    df = bars(spark, walk(90)).withColumns({"label": F.when(F.col("close") > 0, 1), "split": F.when(F.month("dt") < 3, "train").when(F.month("dt") > 3, "val")})
+    df = df.withColumn("close", F.when(F.dayofmonth("dt") != 17, F.col("close")))
+    key = lambda rows: sorted((r["split"], r["end_dt"], r["features"], r["y"]) for r in rows)
+    assert key(frames.sliding_windows(df, ["close", "high"], 7, size=size).collect()) == key(frames.sliding_windows(df, ["close", "high"], 7).collect()) != []
