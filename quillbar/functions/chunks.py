@@ -28,7 +28,7 @@ CHUNK, ROLE, LATER, BUCKET = "_chunk", "_role", "_later", "_bucket"
 COLD, WARM, OWN = 0, 1, 2
 
 #: Rows a chunk has at least, but for the last of a history.
-ROWS = 1024
+ROWS = 8192
 
 #: A plan of at most so many rows (of a key, a date and three numbers) is broadcast.
 PLAN_ROWS = 200_000

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import SYMBOL, finite
 from ..operators import charts, frames, indicators, labels, metrics, models, signals
+from ..functions import recurrences as steps
 from ..sources import bars as B
+from ..sources import reader
 from ..streaming import bars as streamed
+from ..streaming import recurrences as flowing
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -588,3 +591,53 @@ def built_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("built_store", built_store, sql.chain(f"select symbol, dt, {_columns(BAR)} from bars where symbol in ('A', 'N') and dt between date '1995-01-01' and date '1997-12-31'"))
+
+
+def indicators_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All indicators, with every history cut into chunks of a few hundred bars."""
+    return tidy(indicators.indicators(B.walk_bars(spark, sf_dir), size=256).select(SYMBOL, "dt", *ALL))
+
+
+add("indicators_in_chunks", indicators_in_chunks, sql.chain(f"select symbol, dt, {_columns(ALL)} from r2", True))
+
+
+def source_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars read by their own format from a store of all symbols' bars; symbol and range
+    reach the source, which makes partitions of what they leave only."""
+    folder = B.work_folder(spark, "stores")
+    bars = B.stored(B.walk_bars(spark, sf_dir))
+    B.write_bars(bars, f"{folder}/bars")
+    B.coverage(bars).write.csv(f"{folder}/instruments", sep="\t")
+    read = reader.bars_from(spark, folder, days=365)
+    return tidy(read.where("symbol in ('A', 'N') and dt >= '1994-03-01' and dt <= '1997-06-30'").select(SYMBOL, "dt", *BAR))
+
+
+add("source_bars", source_bars, sql.chain(f"select symbol, dt, {_columns(BAR)} from bars where symbol in ('A', 'N') and dt between date '1994-03-01' and date '1997-06-30'"))
+
+STREAMED = (steps.Ewm("ema_20", "close", steps.span(20)), steps.Ewm("_fast", "close", steps.span(12)), steps.Ewm("_slow", "close", steps.span(26)), steps.Minus("macd_dif", "_fast", "_slow"), steps.Ewm("macd_dea", "macd_dif", steps.span(9)), steps.Stop("sar"))
+
+
+def stream_recurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and the stop of a stream of the bars: a batch of every two years, in which
+    a third of the bars of their last days come a batch too late."""
+    folder = B.work_folder(spark, "streams")
+    bars = B.stored(B.walk_bars(spark, sf_dir))
+    batch = lambda dt: F.floor(F.year(dt) / 2)
+    late = (batch(F.date_add("dt", 20)) > batch("dt")) & (F.pmod(F.xxhash64(SYMBOL, "dt"), F.lit(3)) == 0)
+    dealt = bars.withColumn("batch", batch("dt") + late.cast("int"))
+    for (number,) in sorted(dealt.select("batch").distinct().collect()):  # a row per two years
+        dealt.where(F.col("batch") == number).drop("batch").coalesce(1).write.parquet(f"{folder}/in/{number}")
+    # a day far ahead lets the watermark pass all others
+    spark.range(1).select(F.lit("").alias(SYMBOL), F.lit("2100-01-01").cast("date").alias("dt"), *[F.lit(0.0).alias(c) for c in BAR]).coalesce(1).write.parquet(f"{folder}/in/9999")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", flowing.ROCKSDB)
+    try:
+        stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+        made = flowing.recurrences(stream, STREAMED, "30 days").writeStream.outputMode("append").format("parquet")
+        made.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return tidy(spark.read.parquet(f"{folder}/out").where("symbol <> ''").select(SYMBOL, "dt", "ema_20", "macd_dif", "macd_dea", "sar"))
+
+
+add("stream_recurrences", stream_recurrences, sql.chain(f"select symbol, dt, {_columns(['ema_20', 'macd_dif', 'macd_dea', 'sar'])} from r2", True))
