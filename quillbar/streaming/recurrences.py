@@ -49,12 +49,12 @@ class _Bars(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            days = frame["_day"].tolist()
-            for day, *values in zip(days, *[frame[c].tolist() for c in self.steps.inputs], strict=True):
+            days = frame["day"].tolist()
+            for day, *values in zip(days, *[frame[f"c{k}"].tolist() for k in range(len(self.steps.inputs))], strict=True):
                 self.waiting.updateValue((int(day),), tuple(None if v is None or v != v else float(v) for v in values))
             if days:
                 self.handle.registerTimer(int(min(days)) * DAY_MS)
-        yield self._nothing()
+        yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
@@ -67,7 +67,6 @@ class _Bars(StatefulProcessor):
         if rest is not None:
             self.handle.registerTimer(rest * DAY_MS)
         if not due:
-            yield self._nothing()
             return
         due.sort(key=lambda x: x[0])
         for day, _ in due:
@@ -79,9 +78,6 @@ class _Bars(StatefulProcessor):
         days = pd.to_datetime(pd.Series([d for d, _ in due]), unit="D").dt.date
         yield pd.DataFrame({SYMBOL: key[0], DATE: days, **outs})
 
-    def _nothing(self) -> pd.DataFrame:
-        return pd.DataFrame({c: [] for c in (SYMBOL, DATE, *self.steps.outs)})
-
     def close(self) -> None:
         pass
 
@@ -93,9 +89,9 @@ def recurrences(bars: DataFrame, steps: Sequence[Step], late: str = "7 days") ->
     if any(isinstance(s, (Back, Sum)) for s in steps):
         raise ValueError("steps that look back over rows are not offered on streams")
     known = Steps(steps)
-    rows = bars.select(SYMBOL, F.col(DATE).cast("timestamp").alias("_at"), F.unix_date(DATE).alias("_day"), *[F.col(c).cast("double").alias(c) for c in known.inputs])
+    rows = bars.select(SYMBOL, F.col(DATE).cast("timestamp").alias("at"), F.unix_date(DATE).alias("day"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(known.inputs)])
     schema = f"{SYMBOL} string, {DATE} date, " + ", ".join(f"{o} double" for o in known.outs)
-    return rows.withWatermark("_at", late).groupBy(SYMBOL).transformWithStateInPandas(_Bars(steps), schema, "append", "EventTime")
+    return rows.withWatermark("at", late).groupBy(SYMBOL).transformWithStateInPandas(_Bars(steps), schema, "append", "EventTime")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
