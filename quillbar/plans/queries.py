@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import SYMBOL, finite
-from ..operators import charts, frames, indicators, labels, metrics, models, signals
+from ..operators import charts, frames, indicators, labels, metrics, models, signals, training
 from ..functions import recurrences as steps
 from ..sources import bars as B
 from ..sources import reader
@@ -641,3 +641,17 @@ def stream_recurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("stream_recurrences", stream_recurrences, sql.chain(f"select symbol, dt, {_columns(['ema_20', 'macd_dif', 'macd_dea', 'sar'])} from r2", True))
+
+
+def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of the training split, accuracy and macro-F1 of val after each of four epochs,
+    of a run that is broken off after two and resumed (rows only)."""
+    made = B.stored(frames.samples(B.walk_bars(spark, sf_dir), SPLITS))
+    folder = B.work_folder(spark, "runs")
+    state = None
+    for epochs in (2, 4):
+        state = training.fit(made, folder, training.Training(epochs=epochs, batch=2048, every=2))
+    return tidy(spark.createDataFrame(state.history, "epoch int, loss double, accuracy double, macro_f1 double"))
+
+
+add("training_run", training_run)
