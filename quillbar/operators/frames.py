@@ -6,7 +6,8 @@ they are split, so a label near a split's end may look into the next split.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,49 @@ def fit_scaler(train: DataFrame, columns: list[str]) -> DataFrame:
     return long.select("f.feature", "f.mean", F.when(F.col("f.std") < 1e-8, 1.0).otherwise(F.col("f.std")).alias("std"))
 
 
+@dataclass(frozen=True)
+class Fold:
+    """Months that a fold trains on, both included; ``out``: the group it leaves out."""
+
+    name: str
+    start: date
+    end: date
+    out: str | None = None
+
+
+def rolling_folds(first: int, last: int, years: int = 3, behind: int = 2) -> list[Fold]:
+    """Folds of ``years`` whole years each, a year apart, that leave ``behind`` years for
+    validation and test."""
+    return [Fold(str(y), date(y, 1, 1), date(y + years - 1, 12, 1)) for y in range(first, last - years - behind + 2)]
+
+
+def grouped_folds(folds: list[Fold], groups: list[str]) -> list[Fold]:
+    """Each fold once without each group."""
+    return [replace(f, name=f"{f.name}-{g}", out=g) for f in folds for g in groups]
+
+
+def month_moments(frame: DataFrame, columns: list[str], group: str = SYMBOL) -> DataFrame:
+    """month, grp, feature, n, mean, m2 (sum of squared distances from the mean): what is
+    kept of the rows, from one pass over them."""
+    x = {c: F.col(c).cast("float").cast("double") for c in columns}
+    of = lambda c, v: F.struct(F.lit(c).alias("feature"), F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"))
+    wide = frame.groupBy(F.trunc(DATE, "month").alias("month"), F.col(group).alias("grp")).agg(*[of(c, v).alias(c) for c, v in x.items()])
+    return wide.select("month", "grp", F.inline(F.array(*columns)))
+
+
+def fold_scalers(moments: DataFrame, folds: list[Fold]) -> DataFrame:
+    """fold, feature, n, mean, std of every fold, merged from months: rows are not read
+    again, nor multiplied by folds."""
+    schema = "fold string, first date, last date, out string"
+    listed = F.broadcast(moments.sparkSession.createDataFrame([(f.name, f.start, f.end, f.out) for f in folds], schema))  # a literal table
+    of_fold = F.col("month").between(F.col("first"), F.col("last")) & (F.col("out").isNull() | (F.col("grp") != F.col("out")))
+    parts = moments.where("n > 0").join(listed, of_fold)
+    whole = parts.groupBy("fold", "feature").agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    around = F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("_mean"), F.lit(2.0))
+    merged = parts.join(whole, ["fold", "feature"]).groupBy("fold", "feature").agg(F.first("_n").alias("n"), F.first("_mean").alias("mean"), F.sqrt(F.sum(around) / F.first("_n")).alias("std"))
+    return merged.withColumn("std", F.when(F.col("std") < 1e-8, 1.0).otherwise(F.col("std")))
+
+
 def apply_scaler(df: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` as (x - mean) / std in single precision. The scaler has a row per
     feature; it is broadcast as one row with two columns a feature."""

@@ -11,8 +11,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import SYMBOL, finite
-from ..operators import charts, frames, indicators, labels, metrics, models, signals, training
+from ..functions.kernels import SYMBOL, finite, following, ratio
+from ..operators import charts, evaluation, frames, indicators, labels, metrics, models, signals, training
 from ..functions import recurrences as steps
 from ..sources import bars as B
 from ..sources import reader
@@ -655,3 +655,71 @@ def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("training_run", training_run)
+
+
+def rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A factor in few steps, so with ties, against the gain of five days."""
+    df = indicators.indicators(B.walk_bars(spark, sf_dir), ("rsi",))
+    df = df.select(SYMBOL, "dt", F.round(F.col("rsi") / 10).alias("factor"), (ratio(following("close", 5), F.col("close")) - 1).alias("gain"))
+    return evaluation.information(df, "factor", "gain")
+
+
+def rank_ic_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(rank_ic(spark, sf_dir))
+
+
+def rank_ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(evaluation.information_summary(B.stored(rank_ic(spark, sf_dir))))
+
+
+RANKED = [
+    ("gains", "select symbol, dt, round(rsi / 10) as x, lead(close, 5) over (partition by symbol order by dt) / close - 1 as y from r2"),
+    ("ranked", "select dt, x, y, rank() over (partition by dt order by x) + (count(*) over (partition by dt, x) - 1) / 2.0 as rx, rank() over (partition by dt order by y) + (count(*) over (partition by dt, y) - 1) / 2.0 as ry from gains where x is not null and y is not null"),
+    ("informed", "select dt, count(*) as n, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) as ic, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) as rank_ic from ranked group by dt"),
+]
+add("rank_ic_by_date", rank_ic_by_date, sql.chain(f"select dt, n, {_columns(['ic', 'rank_ic'])} from informed", True, RANKED))
+add(
+    "rank_ic_summary",
+    rank_ic_summary,
+    sql.chain(
+        "select kind, count(*) as dates, round(avg(v), 6) + 0.0 as mean, round(stddev_samp(v), 6) as std, round(avg(case when v > 0 then 1.0 else 0.0 end), 6) as positive, round(avg(v) / nullif(stddev_samp(v), 0), 6) + 0.0 as ratio "
+        "from (select 'ic' as kind, ic as v from informed union all select 'rank_ic', rank_ic from informed) where v is not null group by kind",
+        True,
+        RANKED,
+    ),
+    (),
+)
+
+
+def strategy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holding a symbol while its macd histogram is above zero, in chunks of some months."""
+    df = indicators.indicators(B.walk_bars(spark, sf_dir), ("macd",))
+    df = df.select(SYMBOL, "dt", "close", F.when(F.col("macd_hist") > 0, 1.0).otherwise(0.0).alias("position"))
+    return tidy(evaluation.performance(evaluation.strategy_returns(df, size=200)))
+
+
+GAINED = [
+    ("positions", "select symbol, dt, close, case when macd_hist > 0 then 1.0 else 0.0 end as p from r2"),
+    ("moved", "select symbol, dt, lag(p) over w as held, abs(lag(p) over w - coalesce(lag(p, 2) over w, 0)) as traded, lag(p) over w * (close / lag(close) over w - 1) as r from positions window w as (partition by symbol order by dt)"),
+    ("curve", "select *, sum(ln(1 + r)) over (partition by symbol order by dt rows unbounded preceding) as e from moved where r is not null"),
+    ("falls", "select *, e - greatest(0, max(e) over (partition by symbol order by dt rows unbounded preceding)) as fall from curve"),
+    ("gained", "select symbol, count(*) as n, exp(sum(ln(1 + r))) as growth, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) as sharpe, exp(min(fall)) - 1 as max_drawdown, sum(case when r > 0 then 1.0 else 0 end) / nullif(sum(case when held <> 0 then 1.0 else 0 end), 0) as win_rate, avg(traded) as turnover from falls group by symbol"),
+]
+add("strategy_metrics", strategy_metrics, sql.chain(f"select symbol, n, {_columns(['growth', 'sharpe', 'max_drawdown', 'win_rate', 'turnover'])}, round(pow(growth, 252.0 / n) - 1, 6) + 0.0 as annual_return from gained", True, GAINED), ())
+
+FOLDS = frames.rolling_folds(1993, 1998)
+FOLDS = [*FOLDS, *frames.grouped_folds(FOLDS, ["A", "R"])]
+
+
+def fold_scalers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalers of rolling folds of three years, also without one symbol each."""
+    moments = B.stored(frames.month_moments(indicators.features(B.walk_bars(spark, sf_dir)), MODEL))
+    return tidy(frames.fold_scalers(moments, FOLDS), 4)
+
+
+FOLD_ROWS = "(values " + ", ".join(f"('{f.name}', date '{f.start}', date '{f.end.replace(day=31)}', {'null' if f.out is None else repr(f.out)})" for f in FOLDS) + ") as f(fold, a, b, x)"
+FOLDED = [
+    ("rows_of", f"select f.fold, c.* replace (greatest(gap_days, 0) as gap_days) from clean c join {FOLD_ROWS} on c.dt between f.a and f.b and (f.x is null or c.symbol <> f.x)"),
+    ("folded", " union all ".join(f"select fold, '{c}' as feature, count({c}) as n, avg(cast({c} as float)::double) as mean, stddev_pop(cast({c} as float)::double) as std from rows_of group by fold" for c in MODEL)),
+]
+add("fold_scalers", fold_scalers, sql.chain("select fold, feature, n, round(mean, 4) + 0.0 as mean, round(case when std < 1e-8 then 1.0 else std end, 4) + 0.0 as std from folded", True, CLEAN + FOLDED), ())

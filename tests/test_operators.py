@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillbar.functions import kernels
 from quillbar.functions import chunks
 from quillbar.functions.recurrences import Back, Ewm, Minus, Over, Stop, Sum, scan, span
+from quillbar.operators import evaluation
 from quillbar.operators import charts, frames, indicators, labels, metrics, models, signals
 from quillbar.sources import bars as B
 from tests.helpers import DATA, bars, column
@@ -347,3 +348,45 @@ def test_windows_in_chunks(spark, size):
     df = df.withColumn("close", F.when(F.dayofmonth("dt") != 17, F.col("close")))
     key = lambda rows: sorted((r["split"], r["end_dt"], r["features"], r["y"]) for r in rows)
     assert key(frames.sliding_windows(df, ["close", "high"], 7, size=size).collect()) == key(frames.sliding_windows(df, ["close", "high"], 7).collect()) != []
+
+
+def test_mean_ranks(spark):
+    """Ties share their mean rank, over partitions; nulls have none."""
+    rng = np.random.default_rng(2)
+    rows = [(int(d), None if v == 9 else float(v)) for d, v in zip(rng.integers(0, 3, 400), rng.integers(0, 10, 400), strict=True)] + [(7, 1.0)]
+    got = evaluation.mean_ranks(spark.createDataFrame(rows, "dt int, v double").repartition(7), "v", "rank").toPandas()
+    want = got.groupby("dt")["v"].rank(method="average")
+    assert len(got) == 401 and np.allclose(got["rank"].astype(float), want, equal_nan=True)
+
+
+def test_information(spark):
+    rows = [("A", 1, 1.0, 0.1), ("B", 1, 2.0, 0.2), ("C", 1, 3.0, 0.9), ("D", 1, None, 5.0), ("A", 2, 1.0, 0.3), ("A", 3, 4.0, 0.1), ("B", 3, 4.0, 0.2)]
+    got = {r["dt"]: (r["n"], r["ic"], r["rank_ic"]) for r in evaluation.information(spark.createDataFrame(rows, "symbol string, dt int, f double, g double"), "f", "g").collect()}
+    assert got[2] == (1, None, None) and got[3] == (2, None, None)
+    assert got[1][0] == 3 and abs(got[1][2] - 1) < 1e-12 and abs(got[1][1] - np.corrcoef([1, 2, 3], [0.1, 0.2, 0.9])[0, 1]) < 1e-12
+
+
+@pytest.mark.parametrize("size", [1, 30, 10_000])
+def test_drawdown_in_chunks(spark, size):
+    df = bars(spark, walk(120)).withColumn("position", F.when(F.dayofmonth("dt") % 5 == 0, 0.0).otherwise(1.0))
+    r = evaluation.performance(evaluation.strategy_returns(df, size=size)).first()
+    rows = df.orderBy("dt").toPandas()
+    held = rows["position"].shift()
+    gain = (held * rows["close"].pct_change()).dropna()
+    e = (1 + gain).cumprod()
+    assert r["n"] == 119 and abs(r["growth"] - e.iloc[-1]) < 1e-9
+    assert abs(r["max_drawdown"] - (e / e.cummax().clip(lower=1) - 1).min()) < 1e-9
+    assert abs(r["sharpe"] - gain.mean() / gain.std() * 252**0.5) < 1e-9 and abs(r["win_rate"] - (gain > 0).sum() / (held > 0).sum()) < 1e-12
+    assert abs(r["turnover"] - (held - held.shift().fillna(0)).abs().dropna().mean()) < 1e-12
+
+
+def test_fold_scalers_equal_a_fit(spark):
+    df = bars(spark, walk(500)).unionByName(bars(spark, walk(400, 3), "Y")).withColumn("flat", F.lit(2.0))
+    folds = [frames.Fold("a", date(2020, 2, 1), date(2020, 6, 1)), frames.Fold("b", date(2020, 5, 1), date(2021, 12, 1), out="X")]
+    got = frames.fold_scalers(frames.month_moments(df, ["close", "flat"]), folds).collect()
+    for f in folds:
+        rows = df.where((F.trunc("dt", "month") >= F.lit(f.start)) & (F.trunc("dt", "month") <= F.lit(f.end)) & (F.lit(f.out is None) | (F.col("symbol") != (f.out or ""))))
+        want = {r["feature"]: r for r in frames.fit_scaler(rows, ["close", "flat"]).collect()}
+        mine = {r["feature"]: r for r in got if r["fold"] == f.name}
+        assert set(mine) == set(want) and all(abs(mine[k]["mean"] - want[k]["mean"]) < 1e-9 and abs(mine[k]["std"] - want[k]["std"]) < 1e-9 and mine[k]["n"] == rows.count() for k in want)
+    assert [f.name for f in frames.rolling_folds(1993, 1998)] == ["1993", "1994"]
