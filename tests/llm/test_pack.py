@@ -274,12 +274,42 @@ def test_leaks(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(docs, bench).collect()}
     assert {x for x in got if x[1] < 100} == want
-    monkeypatch.setattr(decontam, "PART", 40)
+    monkeypatch.setattr(decontam, "BITS", 8)  # a table that knows nearly everything
     assert {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(docs, bench).collect() if x["item_id"] < 100} == want
     assert decontam.contaminated(docs.where("false"), bench).count() == 0
     assert decontam.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_plain_text_is_not_aligned(spark):
+    """Frequent and rare words as in prose, and no leak: stretches to align are few beside
+    the words, and do not grow faster than these."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    share = 1 / np.arange(1, 20_001)
+    draw = lambda n: " ".join(f"w{k}" for k in rng.choice(20_000, n, p=share / share.sum()))
+    bench = spark.createDataFrame([(k, draw(20)) for k in range(2_000)], "item_id long, text string")
+    from quillbar.llm.common import stored
+
+    rates = []
+    for words in (20_000, 80_000):
+        docs = spark.createDataFrame([(k, draw(words // 10)) for k in range(10)], "doc_id long, text string")
+        source = docs.select("doc_id", F.xxhash64("text").alias("id"), "text")
+        items = stored(bench.select(F.xxhash64("text").alias("item"), "text").mapInArrow(decontam._words, "item long, words array<long>"))
+        rates.append(decontam.meetings(source, decontam.seeds(items, source, 0.5), False).count() / words)
+    assert max(rates) < 0.01, rates
+
+
+def test_leaks_among_odd_rows(spark):
+    """Null ids, repeated rows, items of equal text, ties of score: every row is told."""
+    said = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = documents(spark, [(1, f"x {said} y {said}", "en", "a", 0), (1, f"x {said} y {said}", "en", "a", 0), (None, said.upper(), "en", "a", 0), (2, None, "en", "a", 0), (3, "alpha beta", "en", "a", 0)])
+    bench = spark.createDataFrame([(7, said), (8, said), (None, said), (9, None), (10, " . ")], "item_id long, text string")
+    got = sorted(map(tuple, decontam.contaminated(docs, bench).collect()), key=repr)
+    want = [(d, i, 1.0, e) for d, e in ((1, 9), (1, 9), (None, 8)) for i in (7, 8, None)]
+    assert got == sorted(want, key=repr)
+
+
 def test_leaks_edited_throughout(spark):
     """All pairs that Smith-Waterman over the whole text finds, in a corpus of few words."""
     import numpy as np
