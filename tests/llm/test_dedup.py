@@ -370,3 +370,21 @@ def test_components(spark):
     linked = {x for u, v in edges if u != v for x in (u, v)}
     assert got == {x: find(x) for x in linked}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_group_of_near_copies_is_settled_by_pivots(spark, monkeypatch):
+    """A pair per entry and key, and no block of texts; one class for the whole group."""
+    import random
+
+    def never(*_):
+        raise AssertionError("a settled key came into blocks")
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = [(k, " ".join(w if i != k % 120 else f"x{k}" for i, w in enumerate(base)), "en", "a", 0) for k in range(300)]
+    made, pairs = [], near_copies.pivot_pairs
+    monkeypatch.setattr(near_copies, "blocks", never)
+    monkeypatch.setattr(near_copies, "pivot_pairs", lambda entries, r: (made.append((entries.count(), pairs(entries, r).count())), pairs(entries, r))[1])
+    found = near_copies.members(documents(spark, rows)).collect()
+    assert len({r["root"] for r in found}) == 1 and len(found) == 300
+    assert all(p < n for n, p in made) and made[0][0] <= 300 * near_copies.BANDS
