@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import SYMBOL, finite, following, ratio
-from ..operators import charts, evaluation, frames, indicators, labels, metrics, models, signals, training
+from ..operators import charts, evaluation, frames, groups, indicators, labels, metrics, models, signals, training
 from ..functions import recurrences as steps
 from ..sources import bars as B
 from ..sources import reader
@@ -723,3 +723,24 @@ FOLDED = [
     ("folded", " union all ".join(f"select fold, '{c}' as feature, count({c}) as n, avg(cast({c} as float)::double) as mean, stddev_pop(cast({c} as float)::double) as std from rows_of group by fold" for c in MODEL)),
 ]
 add("fold_scalers", fold_scalers, sql.chain("select fold, feature, n, round(mean, 4) + 0.0 as mean, round(case when std < 1e-8 then 1.0 else std end, 4) + 0.0 as std from folded", True, CLEAN + FOLDED), ())
+
+
+GROUPS = {
+    "price": ["open", "high", "low", "close", "volume"],
+    "trend": indicators.columns_of(("ema", "macd", "dma", "sar")),
+    "bands": indicators.columns_of(("boll", "kc", "atr")),
+    "swing": indicators.columns_of(("kdj", "rsi", "cci", "srmi", "osc")),
+}
+
+
+def feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group of features alone, all but it, and all together, from one matrix
+    (rows only: the fit has no SQL twin)."""
+    frame = B.stored(model_frame(spark, sf_dir))
+    scaled = B.stored(frames.apply_scaler(frame, frames.fit_scaler(frame.where("split = 'train'"), MODEL), MODEL))
+    every = [c for g in GROUPS.values() for c in g]
+    subsets = {"all": every} | GROUPS | {f"without_{k}": [c for c in every if c not in g] for k, g in GROUPS.items()}
+    return tidy(groups.compared(scaled, MODEL, subsets, 2))
+
+
+add("feature_groups", feature_groups)

@@ -7,6 +7,7 @@ from datetime import date, timedelta
 import numpy as np
 import pytest
 
+from quillbar.operators import groups
 from quillbar.operators import training as T
 
 
@@ -90,3 +91,24 @@ def test_gradient_by_differences(hidden):
 def test_nothing_to_train_on(spark, samples, tmp_path):
     with pytest.raises(ValueError):
         T.fit(samples.where("split = 'val'"), str(tmp_path), T.Training(classes=3, epochs=1))
+
+
+def test_subsets_equal_their_own_fit(spark):
+    """Every subset's weights and scores, against a fit of its columns alone."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 4))
+    y = (x[:, 0] + 0.5 * x[:, 2] + rng.normal(size=120) > 0).astype(int)
+    rows = [("train" if k < 90 else "val", int(y[k]), *map(float, x[k])) for k in range(120)] + [("train", 1, None, 0.0, 0.0, 0.0), (None, 0, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "split string, label int, a double, b double, c double, d double").repartition(7)
+    columns, subsets = ["a", "b", "c", "d"], {"one": ["c"], "two": ["a", "d"], "all": ["d", "c", "b", "a"]}
+    matrix, sums = groups.gram(df.where("split = 'train'"), columns, 2)
+    got = {(r["subset"], r["split"]): r["accuracy"] for r in groups.compared(df, columns, subsets, 2).collect()}
+    for name, held in subsets.items():
+        at = [columns.index(c) for c in held]
+        part = np.concatenate((x[:90][:, at], np.ones((90, 1))), axis=1)
+        penalty = np.diag([1.0] * len(at) + [0.0])
+        want = np.linalg.solve(part.T @ part + penalty, part.T @ np.eye(2)[y[:90]])
+        assert np.allclose(groups.solved(matrix, sums, at)[[*at, 4]], want)
+        for split, rows_ in (("train", slice(0, 90)), ("val", slice(90, 120))):
+            scored = np.concatenate((x[rows_][:, at], np.ones((len(x[rows_]), 1))), axis=1) @ want
+            assert abs(got[name, split] - (scored.argmax(axis=1) == y[rows_]).mean()) < 1e-12
