@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import SYMBOL, finite, following, ratio
-from ..operators import charts, evaluation, frames, groups, indicators, labels, metrics, models, signals, training
+from ..operators import charts, evaluation, exits, frames, groups, indicators, labels, metrics, models, signals, training
 from ..functions import recurrences as steps
 from ..sources import bars as B
 from ..sources import reader
@@ -31,7 +31,7 @@ SECTORS = {"tech": ("A", "X"), "financial": ("n", "A"), "industrial": ("R",)}
 SECTOR_ROWS = "(values ('tech', 'A'), ('tech', 'X'), ('financial', 'N'), ('financial', 'A'), ('industrial', 'R')) as s(sector, symbol)"
 
 #: Written as text in results, so that clients with other date types agree.
-DATES = ("dt", "start", "end", "start_dt", "end_dt")
+DATES = ("dt", "start", "end", "start_dt", "end_dt", "half_dt", "exit_dt")
 
 
 def add(name: str, query: Query, twin: str | None = None, dates: tuple[str, ...] = ("dt",)) -> None:
@@ -744,3 +744,47 @@ def feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("feature_groups", feature_groups)
+
+
+def trade_exits(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFrame:
+    """Entries at the close of rising bars, in chunks of some months."""
+    df = indicators.indicators(B.walk_bars(spark, sf_dir), ("atr",))
+    return exits.trailing_exits(df, F.col("close") > F.col("open"), size=size)
+
+
+def trailing_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(trade_exits(spark, sf_dir))
+
+
+def exit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(exits.exit_summary(trade_exits(spark, sf_dir)))
+
+
+EXITS = [
+    ("paced", f"select symbol, dt, rn, open, high, low, close, round(atr, 6) as atr, round({sql.roll('avg', 'close', 20)}, 6) as m20, round({sql.roll('avg', 'close', 60)}, 6) as m60 from t2"),
+    ("bought", "select symbol, dt, rn, close as price, close - 2::double * atr as stop, close + 3::double * atr as target, 2::double * atr as gap from paced where close > open and m20 > m60 and atr is not null"),
+    (
+        "walked",
+        """select symbol, dt, rn as k, price, stop, target, gap, price as top, stop as floor, null::date as half_dt, null::varchar as reason, null::double as level, null::date as exit_dt from bought
+        union all select w.symbol, w.dt, p.rn, price, stop, target, gap, greatest(top, p.high),
+            case when half_dt is not null or (p.low > stop and p.high >= target) then greatest(floor, p.m20) else floor end,
+            case when half_dt is null and p.low > stop and p.high >= target then p.dt else half_dt end,
+            case when half_dt is null and p.low <= stop then 'stop' when half_dt is not null and p.low <= greatest(top - gap, floor) then 'trail' end,
+            case when half_dt is null and p.low <= stop then stop when half_dt is not null and p.low <= greatest(top - gap, floor) then greatest(top - gap, floor) end,
+            p.dt from walked w join paced p on p.symbol = w.symbol and p.rn = w.k + 1 where w.reason is null""",
+    ),
+    ("final", "select * from walked qualify row_number() over (partition by symbol, dt order by k desc) = 1"),
+    (
+        "left_at",
+        """select symbol, dt, price, half_dt, case when reason is not null then exit_dt end as exit_dt, coalesce(reason, 'open') as reason, level,
+        case when reason = 'stop' then level / price - 1 when reason = 'trail' then (target / price - 1 + level / price - 1) / 2 end as gain from final""",
+    ),
+]
+WHEN = ("dt", "half_dt", "exit_dt")
+add("trailing_exits", trailing_exits, sql.chain(f"select symbol, dt, half_dt, exit_dt, reason, {_columns(['price', 'level', 'gain'])} from left_at", more=EXITS).replace("with ", "with recursive ", 1), WHEN)
+add(
+    "exit_summary",
+    exit_summary,
+    sql.chain(f"select symbol, reason, count(*) as n, count(half_dt) as halves, {_columns(['avg(gain)']).replace('as avg(gain)', 'as gain')} from left_at group by symbol, reason", more=EXITS).replace("with ", "with recursive ", 1),
+    (),
+)
