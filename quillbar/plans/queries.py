@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -788,3 +789,83 @@ add(
     sql.chain(f"select symbol, reason, count(*) as n, count(half_dt) as halves, {_columns(['avg(gain)']).replace('as avg(gain)', 'as gain')} from left_at group by symbol, reason", more=EXITS).replace("with ", "with recursive ", 1),
     (),
 )
+
+
+LINES = [f"ema_{n}" for n in sql.EMAS]
+
+
+def signal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a chart of the signals shades, numbered over chunks of some months."""
+    return charts.signal_spans(signals.signals(B.walk_bars(spark, sf_dir)), LINES, size=200)
+
+
+def label_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.label_spans(labels.trade_labels(with_atr(spark, sf_dir)), size=200)
+
+
+def barrier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(charts.barrier_lines(with_atr(spark, sf_dir), size=200))
+
+
+def _spans_sql(kind: str) -> str:
+    """From ``shaded`` (symbol, kind, x; rows to shade)."""
+    return f"select symbol, kind as {kind}, min(x) - 0.5::double as from_x, max(x) + 0.5::double as to_x from (select *, x - row_number() over (partition by symbol, kind order by x) as run from shaded) group by symbol, kind, run"
+
+
+SHADED = [
+    *FLAGS,
+    ("placed", f"select f.*, row_number() over (partition by f.symbol order by f.dt) - 1 as x from flags f join r2 on r2.symbol = f.symbol and r2.dt = f.dt where {' and '.join(f'r2.{c} is not null' for c in LINES)}"),
+    ("shaded", " union all ".join(f"select symbol, '{n}' as kind, x from placed where {n}" for n in signals.SIGNALS)),
+]
+STYLE_ROWS = ", ".join(f"('{n}', '{caption}', '{colour}')" for n, (caption, colour) in charts.SIGNAL_STYLES.items())
+add("signal_spans", signal_spans, sql.chain(f"select s.*, caption, colour from ({_spans_sql('signal')}) s join (values {STYLE_ROWS}) as t(signal, caption, colour) on t.signal = s.signal", True, SHADED), ())
+add(
+    "label_spans",
+    label_spans,
+    sql.chain(
+        f"""select symbol, split_part(kind, ' ', 1) as horizon, cast(split_part(kind, ' ', 2) as integer) as label, case when kind like '% 1' then '{charts.WIN}' else '{charts.LOSS}' end as colour, from_x, to_x from ({_spans_sql('kind')})""",
+        more=[
+            ("placed", f"select *, row_number() over (partition by horizon, symbol order by dt) - 1 as x from (select 'long' as horizon, * from ({LONG_SQL}) union all select 'short', * from ({SHORT_SQL}))"),
+            ("shaded", "select symbol, concat(horizon, ' ', cast(label as integer)) as kind, x from placed where abs(label) = 1"),
+        ],
+    ),
+    (),
+)
+add(
+    "barrier_lines",
+    barrier_lines,
+    sql.chain(
+        f"""select symbol, dt, x, horizon, {_columns(['atr', 'stop_loss', 'take_profit'])} from (select symbol, dt, row_number() over (partition by symbol, horizon order by dt) - 1 as x, horizon, atr, open - down * atr as stop_loss, open + up * atr as take_profit
+        from t2, (values ('long', 2.0::double, 3.0::double), ('short', 1.0::double, 1.5::double)) as b(horizon, down, up))"""
+    ),
+)
+
+
+def rule_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and macro-F1 of a fixed rule (the strength index ends its window above its
+    start), scored over arrays of samples as any classifier is."""
+    at = MODEL.index("rsi")
+
+    def classify(x: np.ndarray) -> np.ndarray:
+        rose = x[:, -1, at] > x[:, 0, at]
+        return np.stack([~rose, rose], axis=1).astype(np.float32)
+
+    made = models.score(frames.samples(B.walk_bars(spark, sf_dir), SPLITS), classify)
+    return tidy(metrics.scores(made, 2, ("split",)))
+
+
+RULED = [
+    ("ended", f"select split, y, case when rsi > first_value(rsi) over {_W120} then 1 else 0 end as pred, count(*) over {_W120} as n from scaled where split is not null"),
+    ("ruled", "select split, y, pred from ended where n = 120"),
+    ("tallied", "select split, k, count(*) filter (where y = k and pred = k) as tp, count(*) filter (where y <> k and pred = k) as fp, count(*) filter (where y = k and pred <> k) as fn from ruled, (values (0), (1)) as c(k) group by split, k"),
+]
+add(
+    "rule_eval",
+    rule_eval,
+    sql.chain(
+        f"select t.split, round(any_value(a.accuracy), 6) as accuracy, round(avg({_F1}), 6) + 0.0 as macro_f1 from tallied t join (select split, avg(case when y = pred then 1.0::double else 0.0::double end) as accuracy from ruled group by split) a on a.split = t.split group by t.split",
+        True,
+        FRAME + SCALER + SCALED + RULED,
+    ),
+    (),
+)
