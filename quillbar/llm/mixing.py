@@ -120,3 +120,42 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
         f" 'start', greatest(offset, {lo}) - offset, 'words', least(e.end, case when j = {shards} - 1 then e.end else {hi} end) - greatest(offset, {lo}))))), s -> s.words > 0)"
     )
     return placed.select("doc_id", "id", "source", "size", "source_size", "target", "quota", taken.alias("taken"), F.transform("ends", lambda e: e["end"] - F.col("offset")).alias("by_pass"), spans.alias("spans"))
+
+
+def whole_documents(plan: DataFrame, cap: float = 2.0) -> DataFrame:
+    """doc_id, id, source, times (at least 1): how often each document of a :func:`mix` is
+    taken whole. A pass that takes the larger part of a document takes it, else not. What
+    a source then lacks, or has too much, is made up: first by documents that fit into the
+    rest, in the order of a hash, as long as they fit together; then twice by the one whose
+    size is nearest to the rest. A change is made only if it brings the source nearer to
+    its target, and no document is taken more than ``cap`` times.
+
+    Rows that repeat a document are taken together. Documents without words are not taken.
+    """
+    passes = F.size(F.filter("by_pass", lambda words: 2 * words > F.col("size")))
+    rows = plan.select("doc_id", "id", "source", "size", "target", passes.cast("long").alias("times")).groupBy("doc_id", "id", "source")
+    rows = rows.agg(F.sum("size").alias("size"), F.max("target").alias("target"), F.max("times").alias("times"))
+    rows = cut(rows.where("size > 0"))
+    most = int(cap // 1)
+
+    def measured() -> DataFrame:
+        """Rows with ``rest`` of their source and ``step``, the change that makes it smaller."""
+        rest = rows.groupBy(F.col("source").alias("_source")).agg((F.max("target") - F.sum(F.col("size") * F.col("times"))).alias("rest"))
+        step = F.when((F.col("rest") > 0) & (F.col("times") < most), 1).when((F.col("rest") < 0) & (F.col("times") > 0), -1).otherwise(0)
+        both = rows.join(maybe_broadcast(cut(rest)), F.col("source").eqNullSafe(F.col("_source")))
+        return both.drop("_source").withColumns({"step": step, "rest": F.abs("rest")})
+
+    columns = rows.columns
+    fits = (F.col("step") != 0) & (F.col("size") <= F.col("rest"))
+    found = cut(measured().withColumn("order", F.xxhash64(F.lit(31), "doc_id", "id")))
+    placed = running_offsets(found.where(fits), ["source"], F.col("order"), "size", "before")
+    placed = placed.withColumn("times", F.col("times") + F.when(F.col("before") + F.col("size") <= F.col("rest"), F.col("step")).otherwise(0))
+    rows = cut(placed.select(columns).unionByName(found.where(~fits).select(columns)))
+    for _ in range(2):
+        found = measured()
+        left = F.abs(F.col("rest") - F.col("size"))
+        key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id")
+        best = found.where((F.col("step") != 0) & (left < F.col("rest"))).groupBy(F.col("source").alias("_source")).agg(F.min(F.struct(left.alias("left"), key.alias("key"))).alias("best"))
+        found = found.join(maybe_broadcast(cut(best)), F.col("source").eqNullSafe(F.col("_source")), "left")
+        rows = cut(found.withColumn("times", F.col("times") + F.when(key.eqNullSafe(F.col("best.key")), F.col("step")).otherwise(0)).select(columns))
+    return rows.where("times > 0").select("doc_id", "id", "source", "times")

@@ -53,6 +53,38 @@ def test_mix(spark, table):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+@pytest.mark.parametrize("table", ["sf", "odd", "long", "none"])
+def test_whole_documents(spark, table):
+    """Every source ends within 1 % of its target or where no one document brings it nearer,
+    and never further off than by rounding passes."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet") if table == "sf" else odd_documents(spark)
+    if table == "long":  # texts of 1 to 4,000 words, the last rows said twice
+        sizes = [1 + (k * k * 7919) % (4000 if k % 9 == 0 else 60) for k in range(400)]
+        rows = [(k, " ".join(f"w{k}" for _ in range(n)), "en", f"s{k % 3}" if k % 50 else None, 0) for k, n in enumerate(sizes)]
+        docs = documents(spark, rows + rows[-5:])
+    docs = docs.where("false") if table == "none" else docs
+    plan, size, target, plain = mixing.mix(docs), defaultdict(int), {}, defaultdict(int)
+    for r in plan.collect():
+        size[r["doc_id"], r["id"], r["source"]] += r["size"]
+        target[r["source"]] = r["target"]
+        plain[r["source"]] += r["size"] * sum(2 * w > r["size"] for w in r["by_pass"])
+    found, held = mixing.whole_documents(plan).collect(), defaultdict(int)
+    for r in found:
+        key = r["doc_id"], r["id"], r["source"]
+        assert 1 <= r["times"] <= 2 and size[key] > 0
+        held[r["source"]] += r["times"] * size[key]
+    assert len({(r["doc_id"], r["id"], r["source"]) for r in found}) == len(found)
+    for s, want in target.items():
+        off = abs(held[s] - want)
+        assert off <= abs(plain[s] - want) + 1e-6
+        step = 1 if held[s] < want else -1
+        times = defaultdict(int, {(r["doc_id"], r["id"], r["source"]): r["times"] for r in found})
+        nearer = [k for k, n in size.items() if k[2] == s and n and 0 <= times[k] + step <= 2 and abs(off - n) < off - 1e-6]
+        assert off <= 0.01 * want or not nearer
+    again = mixing.whole_documents(plan).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+
+
 @pytest.mark.parametrize("count", [1, 7, 300])
 def test_house_is_filled(spark, count):
     """Quotas are the house's highest quotients, equal ones at its end apart."""
