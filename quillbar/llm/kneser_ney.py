@@ -18,6 +18,9 @@ one it has not; neither kind may fall outside). Quantiles are of scores in steps
 Null or empty text: no bytes, score is the language's mean, kept. Null language: a
 language of its own. A language without trusted documents: the bounds of all
 trusted documents together. No trusted documents at all: every document is kept.
+Repeated rows and null doc_ids each have a row of the result; equal texts of a
+language score alike. A null doc_id is never trusted. Long texts are read whole.
+Other columns are left out. Empty table: empty result.
 """
 
 from __future__ import annotations

@@ -29,7 +29,9 @@ def even_map(slots: int, shards: int) -> list[int]:
 
 def rebalance(shard_of: list[int], load: list[int], shards: int, edits: int = 20_000) -> list[int]:
     """The map after moves and swaps between the fullest and the emptiest shard,
-    each the one that halves their gap best, until none makes it smaller."""
+    each the one that halves their gap best, until none makes it smaller or ``edits``
+    of them are made: a bound on how many slots change their shard at once. What it
+    leaves uneven, the next edit of the stored map goes on with."""
     now = list(shard_of)
     held = [sorted((load[s], s) for s in range(len(now)) if now[s] == k) for k in range(shards)]
     total = [sum(x for x, _ in h) for h in held]

@@ -13,6 +13,8 @@ pairs, so output stays linear in the group and no task holds more than a block.
 
 Null or wordless text: fingerprint zero, linked like any other. Null doc_id:
 fingerprinted and linked; it never names a component unless all members are null.
+Repeated rows each have a row of the result, of one component. Long texts are read
+whole. Other columns are left out. Empty table: empty result.
 """
 
 from __future__ import annotations

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from quillbar.llm import kneser_ney, quality_rules
 from tests.helpers import DATA
@@ -40,6 +42,37 @@ def test_base_counts(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def hashed(raw, seed=42):
+    return xxhash.xxh64_intdigest(raw, seed)
+
+
+def test_ratios_and_verdicts(spark):
+    """llr, threshold and kept of all documents, in plain Python."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    marked = {r["doc_id"]: r for r in labels.collect()}
+    fit = {d: hashed(struct.pack("<q", d), hashed(struct.pack("<i", 43))) % quality_rules.HOLD != 0 for d, r in marked.items() if r["quality"] == 1 and not r["toxic"]}
+    features = {}
+    for r in docs.collect():
+        w = [hashed(x.encode()) for x in WORD.findall(r["text"] or "")]
+        pairs = [hashed(struct.pack("<Q", b), hashed(struct.pack("<Q", a))) for a, b in zip(w, w[1:], strict=False)]
+        features[r["doc_id"]] = [h >> 48 for h in w + pairs]
+    raw, target = Counter(), Counter()
+    for d, f in features.items():
+        raw.update(f)
+        target.update(f if fit.get(d) else [])
+    ends = [sum(x.values()) + (1 << 16) for x in (target, raw)]
+    ratio = {b: float(np.float32(math.log((target[b] + 1) / ends[0]) - math.log((n + 1) / ends[1]))) for b, n in raw.items()}
+    llr = {d: round(sum(ratio[b] for b in f) / len(f), 9) for d, f in features.items() if f}
+    low, mid = np.percentile([x for d, x in llr.items() if fit.get(d) is False], [0.5, 50])
+    floor = low - (mid - low) / 2
+    rows = quality_rules.quality_rules(docs, labels).collect()
+    assert len(rows) == len(features) and any(fit.values()) and not all(fit.values())
+    for r in rows:
+        assert r["llr"] == pytest.approx(llr.get(r["doc_id"]), abs=2e-8)
+        assert r["kept"] == (not r["base_failed"] and llr[r["doc_id"]] >= floor)
+    assert 0 < sum(r["kept"] for r in rows) < len(rows)
+
+
 def test_rules_follow_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_rules.quality_rules(docs, labels).join(labels, "doc_id").where("not base_failed").collect()
