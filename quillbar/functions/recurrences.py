@@ -37,11 +37,13 @@ from .kernels import SYMBOL, by_date, within
 class Ewm:
     """``out``: exponential mean of column ``of``, weight ``alpha`` for the new
     value. Starts at the first non-null; a null row carries the mean on and lets
-    the old weight decay, and the next value is weighed against what is left."""
+    the old weight decay, and the next value is weighed against what is left. With
+    ``ignore_na`` null rows let nothing decay (pandas has the same two forms)."""
 
     out: str
     of: str
     alpha: float
+    ignore_na: bool = False
 
 
 @dataclass(frozen=True)
@@ -145,14 +147,17 @@ class _Mean:
     none = [np.nan, 0.0]
 
     def __init__(self, step: Ewm) -> None:
-        self.alpha = step.alpha
+        self.alpha, self.ignore_na = step.alpha, step.ignore_na
+
+    def weights(self, since: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _weights(self.alpha, np.ones_like(since) if self.ignore_na else since)
 
     def solve(self, x: np.ndarray, state: State) -> np.ndarray:
         y0, age = state
         at = np.flatnonzero(~np.isnan(x))
         out = np.full(len(x), y0)
         if len(at):
-            a, w = _weights(self.alpha, np.diff(at, prepend=-1 - age))
+            a, w = self.weights(np.diff(at, prepend=-1 - age))
             b = w * x[at]
             b[0] = x[at[0]] if np.isnan(y0) else a[0] * y0 + b[0]
             a[0] = 0.0
@@ -165,7 +170,7 @@ class _Mean:
         at = np.flatnonzero(~np.isnan(x))
         if not len(at):
             return [len(x), len(x), np.nan, 1.0, 0.0, 0.0]
-        a, w = _weights(self.alpha, np.diff(at))
+        a, w = self.weights(np.diff(at))
         return [len(x), at[0], x[at[0]], *_compose(a, w * x[at[1:]])[:2], len(x) - 1 - at[-1]]
 
     def after(self, state: State, made: State) -> State:
@@ -173,7 +178,7 @@ class _Mean:
         if np.isnan(x):
             return [y, age + rows] if not np.isnan(y) else state
         if not np.isnan(y):
-            old, new = _weights(self.alpha, np.array(lead + age + 1))
+            old, new = self.weights(np.array(lead + age + 1))
             x = old * y + new * x
         return [a * x + b, trail]
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,8 @@ class Params:
     osc_signal: int = 6
     mi: tuple[int, int] = (9, 25)
     srmi: int = 14
+    #: Whether exponential means pass over nulls without decay (see recurrences.Ewm).
+    ignore_na: bool = False
 
     @property
     def reach(self) -> int:
@@ -81,6 +84,7 @@ def true_range() -> Column:
 def families(p: Params, dialect: str) -> dict[str, Family]:
     o, h, l, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))  # noqa: E741
     col = F.col
+    ewm = partial(Ewm, ignore_na=p.ignore_na)
     tr = {"_tr": true_range()}
     fast, slow, signal = p.macd
     short, long, smooth = p.dma
@@ -92,7 +96,7 @@ def families(p: Params, dialect: str) -> dict[str, Family]:
     made["gap"] = Family(before=[{"gap_days": at_least(gap_days(), 0).cast("int") if dialect == "model" else gap_days()}])
     made["ret"] = Family(before=[{"ret": ratio(c, prev("close")) - 1}])
     made["ema"] = Family(
-        steps=[s for n in p.ema for s in (Ewm(f"ema_{n}", "close", span(n)), Back(f"_ema_{n}", f"ema_{n}"), Minus(f"ema_{n}_slope", f"ema_{n}", f"_ema_{n}"))],
+        steps=[s for n in p.ema for s in (ewm(f"ema_{n}", "close", span(n)), Back(f"_ema_{n}", f"ema_{n}"), Minus(f"ema_{n}_slope", f"ema_{n}", f"_ema_{n}"))],
     )
     made["boll"] = Family(
         before=[{"boll_mid": mean("close", p.boll), "_sd": deviation("close", p.boll)}, {"boll_up": col("boll_mid") + p.boll_width * col("_sd"), "boll_low": col("boll_mid") - p.boll_width * col("_sd")}],
@@ -102,11 +106,11 @@ def families(p: Params, dialect: str) -> dict[str, Family]:
     made["sar"] = Family(steps=[Stop("sar", step=p.sar_step, most=p.sar_most)])
     made["kc"] = Family(
         before=[tr, {"_reach": p.kc_width * mean("_tr", p.kc)}],
-        steps=[Ewm("kc_mid", "close", span(p.kc))],
+        steps=[ewm("kc_mid", "close", span(p.kc))],
         after=[{"kc_up": col("kc_mid") + col("_reach"), "kc_low": col("kc_mid") - col("_reach")}],
     )
     made["macd"] = Family(
-        steps=[Ewm("_fast", "close", span(fast)), Ewm("_slow", "close", span(slow)), Minus("macd_dif", "_fast", "_slow"), Ewm("macd_dea", "macd_dif", span(signal))],
+        steps=[ewm("_fast", "close", span(fast)), ewm("_slow", "close", span(slow)), Minus("macd_dif", "_fast", "_slow"), ewm("macd_dea", "macd_dif", span(signal))],
         after=[{"macd_hist": 2 * (col("macd_dif") - col("macd_dea"))}],
     )
     made["dmi"] = Family(
@@ -119,7 +123,7 @@ def families(p: Params, dialect: str) -> dict[str, Family]:
         ],
     )
     made["dma"] = Family(
-        steps=[Ewm("_short", "close", span(short)), Ewm("_long", "close", span(long)), Minus("dma", "_short", "_long"), Sum("_dma", "dma", smooth)],
+        steps=[ewm("_short", "close", span(short)), ewm("_long", "close", span(long)), Minus("dma", "_short", "_long"), Sum("_dma", "dma", smooth)],
         after=[{"ama": col("_dma") / smooth}],
     )
     made["adtm"] = Family(
@@ -137,13 +141,13 @@ def families(p: Params, dialect: str) -> dict[str, Family]:
     floor, roof = lowest("low", p.kdj), highest("high", p.kdj)
     made["kdj"] = Family(
         before=[{"_rsv": 100 * ratio(c - floor, roof - floor)}],
-        steps=[Ewm("kdj_k", "_rsv", 1 / p.kdj_smooth), Ewm("kdj_d", "kdj_k", 1 / p.kdj_smooth)],
+        steps=[ewm("kdj_k", "_rsv", 1 / p.kdj_smooth), ewm("kdj_d", "kdj_k", 1 / p.kdj_smooth)],
         after=[{"kdj_j": 3 * col("kdj_k") - 2 * col("kdj_d")}],
     )
     gain, loss = col("_gain"), col("_loss")
     made["rsi"] = Family(
         before=[{"_up": at_least(rise, 0.0), "_down": at_least(-rise, 0.0)}],
-        steps=[Ewm("_gain", "_up", 1 / p.rsi), Ewm("_loss", "_down", 1 / p.rsi)],
+        steps=[ewm("_gain", "_up", 1 / p.rsi), ewm("_loss", "_down", 1 / p.rsi)],
         after=[{"rsi": F.when((loss == 0) & (gain > 0), 100.0).otherwise(100 - 100 / (1 + ratio(gain, loss)))}],
     )
     made["arbr"] = Family(
@@ -168,10 +172,10 @@ def families(p: Params, dialect: str) -> dict[str, Family]:
         ],
     )
     made["dpo"] = Family(before=[{"_sma": mean("close", p.dpo)}, {"dpo": c - prev("_sma", p.dpo // 2 + 1)}])
-    made["osc"] = Family(before=[{"osc": c - mean("close", p.osc)}], steps=[Ewm("osc_signal", "osc", span(p.osc_signal))])
+    made["osc"] = Family(before=[{"osc": c - mean("close", p.osc)}], steps=[ewm("osc_signal", "osc", span(p.osc_signal))])
     made["mi"] = Family(
         before=[{"_hl": h - l}],
-        steps=[Ewm("_hl1", "_hl", span(p.mi[0])), Ewm("_hl2", "_hl1", span(p.mi[0])), Over("_mass", "_hl1", "_hl2"), Sum("mi", "_mass", p.mi[1])],
+        steps=[ewm("_hl1", "_hl", span(p.mi[0])), ewm("_hl2", "_hl1", span(p.mi[0])), Over("_mass", "_hl1", "_hl2"), Sum("mi", "_mass", p.mi[1])],
     )
     made["srmi"] = Family(before=[{"srmi": 100 * ratio(c - lowest("close", p.srmi), highest("close", p.srmi) - lowest("close", p.srmi))}])
     return made

@@ -46,3 +46,30 @@ def agree(df, names, rows):
     theirs = sorted((tuple(r[i] for i in at) for r in rows), key=repr)
     assert len(mine) == len(theirs)
     assert mine == theirs
+
+
+def lines(folder, prices, symbol="A"):
+    """A lineitem table of at least one row per (weekday, price) whose walk stands at that
+    price, or near it, at the day's end; None: the price stays. Returns its folder."""
+    import math
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows, height, day = [], 0, date(1995, 1, 2)
+    for n, price in enumerate(prices):
+        while day.weekday() > 4:
+            day += timedelta(days=1)
+        target = height if price is None else round(math.log(price / 100) / 0.002)
+        steps = []
+        while height + sum(steps) != target:
+            steps.append(max(-5, min(5, target - height - sum(steps))))
+        for k, step in enumerate(steps or [0]):
+            rows.append((n * 10_000 + k, 1, 1, 1, 1.0, 1.0, (step + 5) / 100, 0.0, symbol, "F", day))
+        height = target
+        day += timedelta(days=1)
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    types = [pa.int64()] * 3 + [pa.int32()] + [pa.float64()] * 4 + [pa.string()] * 2 + [pa.timestamp("us")]
+    columns = [pa.array([r[i] for r in rows], t) if t != pa.timestamp("us") else pa.array([r[i] for r in rows], pa.date32()).cast(t) for i, t in enumerate(types)]
+    pq.write_table(pa.table(columns, names=names), f"{folder}/lineitem.parquet")
+    return str(folder)

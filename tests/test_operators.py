@@ -390,3 +390,14 @@ def test_fold_scalers_equal_a_fit(spark):
         mine = {r["feature"]: r for r in got if r["fold"] == f.name}
         assert set(mine) == set(want) and all(abs(mine[k]["mean"] - want[k]["mean"]) < 1e-9 and abs(mine[k]["std"] - want[k]["std"]) < 1e-9 and mine[k]["n"] == rows.count() for k in want)
     assert [f.name for f in frames.rolling_folds(1993, 1998)] == ["1993", "1994"]
+
+
+@pytest.mark.parametrize("values", [[None, 1, 2, None, None, 4, 5], [None] * 5, [3.0], [1, None, None], [np.nan if i % 3 == 0 else i for i in range(40)], [1.0] * 25 + [np.nan] * 70 + [5.0] * 25])
+def test_ewm_ignores_gaps(spark, values):
+    """Also in chunks, some of them without any value."""
+    values = [None if v is None or v != v else v for v in values]
+    df = bars(spark, [(1, 1, 1, v, 1) for v in values])
+    want = pd.Series(values, dtype=float).ewm(alpha=1 / 3, adjust=False, ignore_na=True).mean()
+    for size in (None, 1):
+        got = column(scan(df.repartition("symbol"), [Ewm("y", "close", 1 / 3, ignore_na=True)], size=size), "y")
+        assert np.allclose(np.array(got, dtype=float), want, equal_nan=True)

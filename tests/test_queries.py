@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from quillbar.registry import ORACLE_SQL, QUERIES
-from tests.helpers import DATA, agree, twin
+from tests.helpers import DATA, agree, lines, twin
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -23,3 +23,14 @@ def test_entry_imports():
 
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+#: Prices that stand still for longer than a window, before and after they moved.
+STILL = [100 + 7 * ((k * k) % 5) for k in range(70)] + [None] * 14 + [90, 104, 97, 110, 95, 101] + [None] * 12 + [100 + 3 * ((k * k) % 7) for k in range(30)]
+
+
+@pytest.mark.parametrize("name", ["kdj", "indicators_all_raw", "indicators_in_chunks"])
+def test_twin_over_still_prices(spark, tmp_path, name):
+    """Nulls between values: the exponential means' one difference from plain means."""
+    folder = lines(tmp_path, STILL)
+    agree(QUERIES[name](spark, folder), *twin(folder, ORACLE_SQL[name]))
