@@ -18,7 +18,7 @@ from ..functions import chunks
 from ..functions.chunks import CHUNK, OWN, ROLE
 from ..functions.kernels import DATE, SYMBOL
 from ..sources.bars import stored
-from .indicators import feature_columns, features
+from .indicators import Params, feature_columns, features
 from .labels import binary, label_worst, multiclass
 
 # Split ranges of the default experiment, both ends included.
@@ -29,6 +29,7 @@ SPLITS = {"train": ("2014-01-01", "2022-12-31"), "val": ("2023-01-01", "2023-12-
 class Samples:
     window: int = 120
     label_mode: str = "binary"
+    params: Params | None = None
 
 
 def split_of(splits: dict[str, tuple[str, str]]) -> Column:
@@ -39,11 +40,11 @@ def split_of(splits: dict[str, tuple[str, str]]) -> Column:
     return found
 
 
-def model_frame(bars: DataFrame, splits: dict[str, tuple[str, str]] = SPLITS, label_mode: str = "binary") -> DataFrame:
+def model_frame(bars: DataFrame, splits: dict[str, tuple[str, str]] = SPLITS, label_mode: str = "binary", params: Params | None = None) -> DataFrame:
     """Features, label and split of every clean row."""
     if label_mode not in ("binary", "multiclass"):
         raise ValueError(f"no label mode {label_mode}")
-    labelled = label_worst(features(bars))
+    labelled = label_worst(features(bars, params))
     label = binary() if label_mode == "binary" else multiclass()
     return labelled.withColumn("label", label.cast("int")).withColumn("split", split_of(splits))
 
@@ -131,7 +132,7 @@ def samples(bars: DataFrame, splits: dict[str, tuple[str, str]] = SPLITS, config
     frame is written once, for the scaler's fit and its application."""
     config = config or Samples()
     columns = feature_columns()
-    frame = stored(model_frame(bars, splits, config.label_mode))
+    frame = stored(model_frame(bars, splits, config.label_mode, config.params))
     scaler = fit_scaler(frame.where("split = 'train'"), columns)
     return sliding_windows(apply_scaler(frame, scaler, columns), columns, config.window)
 

@@ -239,10 +239,10 @@ def columns_of(which: Iterable[str], params: Params | None = None) -> list[str]:
     return [c for k in which for c in fast.get(k, NAMES.get(k, [k]))]
 
 
-def features(bars: DataFrame) -> DataFrame:
+def features(bars: DataFrame, params: Params | None = None) -> DataFrame:
     """The model's input: all indicators and the return, rows with any null gone
     (extra columns of the bars count, too)."""
-    return indicators(bars, MODEL, dialect="model").na.drop("any")
+    return indicators(bars, MODEL, params, "model").na.drop("any")
 
 
 def feature_columns() -> list[str]:

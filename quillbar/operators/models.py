@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import SPLITS, Samples, apply_scaler, class_weights, feature_columns, model_frame, sliding_windows
+from .indicators import Params
 from .metrics import scores
 
 
@@ -88,9 +89,9 @@ def load(spark: SparkSession, folder: str) -> tuple[LogisticRegressionModel, Dat
     return LogisticRegressionModel.load(f"{folder}/model"), scaler, Samples(shape["window"], shape["label_mode"])
 
 
-def evaluate_saved(bars: DataFrame, folder: str, splits: dict[str, tuple[str, str]] = SPLITS) -> DataFrame:
+def evaluate_saved(bars: DataFrame, folder: str, splits: dict[str, tuple[str, str]] = SPLITS, params: Params | None = None) -> DataFrame:
     """Bars scored by a checkpoint: its scaler is applied, none is fitted."""
     model, scaler, config = load(bars.sparkSession, folder)
     columns = feature_columns()
-    frame = apply_scaler(model_frame(bars, splits, config.label_mode), scaler, columns)
+    frame = apply_scaler(model_frame(bars, splits, config.label_mode, params), scaler, columns)
     return evaluate(model, sliding_windows(frame, columns, config.window), 2 if config.label_mode == "binary" else 3)

@@ -29,7 +29,7 @@ def test_entry_imports():
 STILL = [100 + 7 * ((k * k) % 5) for k in range(70)] + [None] * 14 + [90, 104, 97, 110, 95, 101] + [None] * 12 + [100 + 3 * ((k * k) % 7) for k in range(30)]
 
 
-@pytest.mark.parametrize("name", ["kdj", "indicators_all_raw", "indicators_in_chunks"])
+@pytest.mark.parametrize("name", ["kdj", "indicators_all_raw", "indicators_in_chunks", "features_model_clean", "scaler_apply", "signal_kdj", "signals_all", "signal_counts", "signal_spans"])
 def test_twin_over_still_prices(spark, tmp_path, name):
     """Nulls between values: the exponential means' one difference from plain means."""
     folder = lines(tmp_path, STILL)
