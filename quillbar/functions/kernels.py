@@ -79,6 +79,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as IEEE 754 and DuckDB have it: infinite where only b is 0, NaN where both
+    are; null where either is null. Zeros have no sign."""
+    by_zero = F.when((a == 0) | F.isnan(a), float("nan")).when(a > 0, float("inf")).otherwise(float("-inf"))
+    return F.when(a.isNull() | b.isNull(), None).when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
 def where(condition: Column, value: Column, otherwise: float = 0.0) -> Column:
     """``value`` where the condition is true; false and null give ``otherwise``."""
     return F.when(condition, value).otherwise(F.lit(otherwise))

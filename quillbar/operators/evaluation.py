@@ -8,6 +8,8 @@ deepest fall inside it, so that no series is gathered.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,8 +42,8 @@ def mean_ranks(df: DataFrame, value: str, out: str, by: tuple[str, ...] = (DATE,
 
 
 def correlation(x: str, y: str) -> Column:
-    """Of the rows that have both; null where either does not vary."""
-    return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    """Of the rows that have both; null where either does not vary, as one row does not."""
+    return F.when(F.count(F.when(F.col(y).isNotNull(), F.col(x))) > 1, ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def information(df: DataFrame, factor: str, gain: str) -> DataFrame:
@@ -60,19 +62,22 @@ def information_summary(per_date: DataFrame) -> DataFrame:
     return found.withColumn("ratio", ratio(F.col("mean"), F.col("std")))
 
 
-def strategy_returns(df: DataFrame, position: str = "position", size: int | None = None) -> DataFrame:
+def strategy_returns(df: DataFrame, position: str = "position", size: int | None = None, divide: Callable[[Column, Column], Column] = ratio) -> DataFrame:
     """symbol, dt, _chunk, held, traded, r of rows with close and a position: what the
-    position of the day before gains today, and by how much that was changed."""
+    position of the day before gains today, and by how much that was changed. Days after a
+    close of 0 are left out; with ``divide`` = quotient they stay, as NaN or infinite."""
     placed, _ = chunks.dealt(stored(df.select(SYMBOL, DATE, "close", F.col(position).alias("p"))), size=size, cold=2)
     with within(SYMBOL, CHUNK):
-        held, gain = prev("p"), ratio(F.col("close"), prev("close")) - 1
+        held, gain = prev("p"), divide(F.col("close"), prev("close")) - 1
         made = placed.withColumns({"held": held, "traded": F.abs(held - F.coalesce(prev("p", 2), F.lit(0.0))), "r": held * gain})
     return made.where((F.col(ROLE) == OWN) & F.col("r").isNotNull()).select(SYMBOL, DATE, CHUNK, "held", "traded", "r")
 
 
 def drawdowns(returns: DataFrame) -> DataFrame:
-    """symbol, growth, max_drawdown (0 or less) of strategy returns, by their chunks."""
-    log = F.log(1 + F.col("r"))
+    """symbol, growth, max_drawdown (0 or less) of strategy returns, by their chunks. A loss of
+    all is a growth of 0; behind a return that is NaN, falls are not known and count for
+    nothing, and the growth is NaN."""
+    log = F.when(F.col("r") == -1, float("-inf")).otherwise(F.log(1 + F.col("r")))
     upto = Window.partitionBy(SYMBOL, CHUNK).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
     rows = returns.select(SYMBOL, DATE, CHUNK, F.sum(log).over(upto).alias("at"), log.alias("step"))
     rows = rows.withColumn("fall", F.col("at") - F.max("at").over(upto))
@@ -80,7 +85,7 @@ def drawdowns(returns: DataFrame) -> DataFrame:
     before = Window.partitionBy(SYMBOL).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)  # a row per chunk
     parts = parts.withColumn("start", F.coalesce(F.sum("all").over(before), F.lit(0.0)))
     peak = F.greatest(F.lit(0.0), F.max(F.col("start") + F.col("top")).over(before))
-    parts = parts.withColumn("fall", F.least("fall", F.col("start") + F.col("low") - peak))
+    parts = parts.withColumn("fall", F.when(F.isnan("start"), float("nan")).otherwise(F.least("fall", F.col("start") + F.col("low") - peak)))
     return parts.groupBy(SYMBOL).agg(F.exp(F.sum("all")).alias("growth"), (F.exp(F.least(F.lit(0.0), F.min("fall"))) - 1).alias("max_drawdown"))
 
 

@@ -34,3 +34,16 @@ def test_twin_over_still_prices(spark, tmp_path, name):
     """Nulls between values: the exponential means' one difference from plain means."""
     folder = lines(tmp_path, STILL)
     agree(QUERIES[name](spark, folder), *twin(folder, ORACLE_SQL[name]))
+
+
+#: The walk falls to 0.0000, stays there and rises again.
+FALLEN = [100 + 7 * ((k * k) % 5) for k in range(40)] + [0.00004] + [None] * 7 + [80 + 5 * ((k * k) % 7) for k in range(30)]
+
+
+@pytest.mark.parametrize("name", ["rank_ic_by_date", "rank_ic_summary", "strategy_metrics"])
+def test_twin_over_prices_of_nothing(spark, tmp_path, name):
+    """Gains on a price of 0 are rows, too: NaN and infinite, as in the SQL."""
+    folder = lines(tmp_path, FALLEN)
+    names, rows = twin(folder, ORACLE_SQL[name])
+    plain = lambda rows: sorted((["nan" if isinstance(v, float) and v != v else v for v in r] for r in rows), key=repr)
+    assert plain([r[c] for c in names] for r in QUERIES[name](spark, folder).collect()) == plain(rows)
