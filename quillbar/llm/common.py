@@ -19,9 +19,20 @@ BROADCAST_ROWS = 1_000_000
 #: The same check for sides that carry payload, in bytes of that payload.
 BROADCAST_BYTES = 32 << 20
 
+#: Rows handed to a Python worker at once.
+BATCH_BYTES = 2 << 20
+
 NO_ID = (1 << 63) - 1
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands at most about ``BATCH_BYTES`` of rows to a Python
+    worker at a time, as text is long: by default a batch is 10,000 rows or 64 MB, which
+    an executor holds several times, in its JVM and in each worker. Results are the same;
+    a single longer row is still a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or, where it is
     unset (tests, local sessions), a folder inside the warehouse."""

@@ -37,6 +37,8 @@ from .repeats import groups, texts
 
 #: N-grams in a shard: at most 12 bytes each in the driver and in a Python worker.
 SHARD = 2_000_000
+#: Texts are counted and scored in pieces of about so many bytes: some ten longs a byte.
+PIECE = 1 << 18
 STEP = 0.001
 #: One in so many trusted documents is held out.
 HOLD = 4
@@ -78,9 +80,9 @@ def _count(order: int, distinct: bool):
 
         for batch in batches:
             raw, offsets = texts(batch.column("text"))
-            for i, j in groups(offsets):
+            for i, j in groups(offsets, PIECE):
                 held.append(np.unique(packed(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order), return_counts=True))
-                if len(held) == 8:
+                if len(held) == 32:
                     grams, times = fold()
                 if len(grams) > SHARD:  # bounded memory: hand on what is there
                     yield from rows()
@@ -131,7 +133,7 @@ def _score(order: int, shard):
         for batch in batches:
             raw, offsets = texts(batch.column("text"))
             nats = np.zeros(batch.num_rows)
-            for i, j in groups(offsets):
+            for i, j in groups(offsets, PIECE):
                 at = offsets[i : j + 1] - offsets[i]
                 g = packed(raw[offsets[i] : offsets[j]], at, order)
                 if not len(g):

@@ -195,3 +195,16 @@ def test_classifier_edges(spark):
     assert kneser_ney.quality_classifier(odd_documents(spark).where("false"), labels).count() == 0
 
 
+
+
+def test_stages_hand_small_batches(spark):
+    """Long texts reach Python workers a few megabytes at a time, not 64."""
+    import corpus_pipeline
+    from quillbar.llm.common import BATCH_BYTES
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(1, "a b c", "en")], "doc_id long, text string, lang string")
+    corpus_pipeline.quality(spark, docs, "/root/testdata/sf0.001")
+    long = spark.range(400, numPartitions=1).selectExpr("repeat('x', 50000) as text")
+    sizes = [r[0] for r in long.mapInArrow(lambda batches: (b.select([]).from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    assert len(sizes) > 5 and max(sizes) <= 2 * BATCH_BYTES
