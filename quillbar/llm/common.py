@@ -33,6 +33,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lean_driver(spark: SparkSession) -> None:
+    """From now on this session broadcasts the side of a join only where the plan or a hint
+    says so (:func:`maybe_broadcast`), not since both sides, shuffled already, turn out to be
+    small: such a side is gathered and hashed on the driver, which saves a sort in the tasks
+    and, with many small joins, fills the driver. Results are the same."""
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or, where it is
     unset (tests, local sessions), a folder inside the warehouse."""

@@ -372,6 +372,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_classes_grow_by_new_links_as_by_all(spark):
+    """Classes of one round and the next one's links give the classes of all links."""
+    import random
+
+    rng = random.Random(11)
+    links = [[(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(n)] for n in (90, 60, 40)]
+    roots = None
+    for part in links:
+        roots = near_copies.joined(roots, spark.createDataFrame(part, "u long, v long"))
+    whole = components(spark.createDataFrame(sum(links, []), "u long, v long"))
+    found = {(r["node"], r["root"]) for r in roots.collect()}
+    assert found == {(r["node"], r["root"]) for r in whole.collect()} and len({r for _, r in found}) > 3
+
+
 def test_a_group_of_near_copies_is_settled_by_pivots(spark, monkeypatch):
     """A pair per entry and key, and no block of texts; one class for the whole group."""
     import random

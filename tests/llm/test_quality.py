@@ -208,3 +208,20 @@ def test_stages_hand_small_batches(spark):
     long = spark.range(400, numPartitions=1).selectExpr("repeat('x', 50000) as text")
     sizes = [r[0] for r in long.mapInArrow(lambda batches: (b.select([]).from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
     assert len(sizes) > 5 and max(sizes) <= 2 * BATCH_BYTES
+
+
+def test_small_sides_of_shuffled_joins_stay_off_the_driver(spark):
+    """Sides that turn out small after their shuffle are not gathered on the driver."""
+    import corpus_pipeline
+
+    key = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    spark.conf.unset(key)
+    docs = spark.createDataFrame([(1, "a b c", "en", "s")], "doc_id long, text string, lang string, source string")
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(key)
+        stage(spark, docs, "/root/testdata/sf0.001")
+        few, again = (spark.range(10_000_000).where("id % 2000000 = 0").toDF(name) for name in ("a", "b"))
+        both = few.join(again, few["a"] == again["b"])
+        assert len(both.collect()) == 5
+        assert "BroadcastHashJoin" not in both._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset(key)
