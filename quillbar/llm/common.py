@@ -37,8 +37,11 @@ def lean_driver(spark: SparkSession) -> None:
     """From now on this session broadcasts the side of a join only where the plan or a hint
     says so (:func:`maybe_broadcast`), not since both sides, shuffled already, turn out to be
     small: such a side is gathered and hashed on the driver, which saves a sort in the tasks
-    and, with many small joins, fills the driver. Results are the same."""
+    and, with many small joins, fills the driver. Shuffle files go at the end of the query
+    that made them, not when the driver happens to collect its garbage, which a lean driver
+    seldom does. Results are the same."""
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -225,3 +225,20 @@ def test_small_sides_of_shuffled_joins_stay_off_the_driver(spark):
         assert len(both.collect()) == 5
         assert "BroadcastHashJoin" not in both._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset(key)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    import glob
+    import time
+
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b c", "en", "s")], "doc_id long, text string, lang string, source string")
+    corpus_pipeline.shard(spark, docs, "")
+    held = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir')}/**/shuffle_*.data", recursive=True))
+    before = held()
+    assert spark.range(1000).groupBy("id").count().checkpoint().count() == 1000
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before
