@@ -21,6 +21,8 @@ BROADCAST_BYTES = 32 << 20
 
 #: Rows handed to a Python worker at once.
 BATCH_BYTES = 2 << 20
+#: Rows of a Parquet file that a task decodes at once, and bytes of its pieces.
+SCAN_ROWS, PIECE_BYTES = 64, 256 << 10
 
 NO_ID = (1 << 63) - 1
 
@@ -33,6 +35,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def small_scans(spark: SparkSession) -> None:
+    """From now on this session reads Parquet by pieces and decodes ``SCAN_ROWS`` rows at a time,
+    writes it in pages of ``PIECE_BYTES``, and aggregates in one map, not two. By default pieces
+    have 8 MB, pages 1 MB, 4096 rows' texts are one array of tens of MB, doubled and copied as it
+    fills, and every map takes a page of 32 MB. Arrays of half a MB or more need room in one
+    piece and go only when all of the heap has been marked; so the heap grows long before it is
+    full, and an executor's memory from query to query. Results are the same."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
+    spark.conf.set("parquet.read.allocation.size", str(PIECE_BYTES))
+    spark.conf.set("parquet.page.size", str(PIECE_BYTES))
+    spark.conf.set("spark.sql.codegen.aggregate.map.twolevel.enabled", "false")
+
+
 def lean_driver(spark: SparkSession) -> None:
     """From now on this session broadcasts the side of a join only where the plan or a hint
     says so (:func:`maybe_broadcast`), not since both sides, shuffled already, turn out to be

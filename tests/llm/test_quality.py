@@ -210,6 +210,29 @@ def test_stages_hand_small_batches(spark):
     assert len(sizes) > 5 and max(sizes) <= 2 * BATCH_BYTES
 
 
+def test_stages_scan_few_rows_at_a_time(spark, tmp_path):
+    """Long texts are decoded and stored a few hundred KB at a time, in every stage."""
+    import inspect
+
+    import corpus_pipeline
+    from quillbar.llm.common import SCAN_ROWS
+
+    names = ("spark.sql.parquet.columnarReaderBatchSize", "parquet.read.allocation.size", "parquet.page.size", "spark.sql.codegen.aggregate.map.twolevel.enabled")
+    for name in names:
+        spark.conf.unset(name)
+    docs = spark.createDataFrame([(1, "a b c", "en", "web")], "doc_id long, text string, lang string, source string")
+    corpus_pipeline.shard(spark, docs, "/root/testdata/sf0.001")
+    long = spark.range(1000, numPartitions=1).selectExpr("id", "repeat(uuid(), 100) as text")
+    long.write.parquet(f"{tmp_path}/long")
+    read = spark.read.parquet(f"{tmp_path}/long")
+    assert len(read.collect()) == 1000
+    node = read._jdf.queryExecution().executedPlan()
+    while node.nodeName() != "ColumnarToRow":
+        node = node.children().apply(0)
+    assert node.metrics().apply("numInputBatches").value() >= 1000 // SCAN_ROWS
+    assert all("small_scans(spark)" in inspect.getsource(stage) for _, stage in corpus_pipeline.STAGES)
+
+
 def test_small_sides_of_shuffled_joins_stay_off_the_driver(spark):
     """Sides that turn out small after their shuffle are not gathered on the driver."""
     import corpus_pipeline
